@@ -1,0 +1,182 @@
+"""Secrets in text: fixed patterns, and windows of high Shannon entropy."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .common import free_name
+
+KINDS = ("assign", "access", "hex", "entropy")
+# fixed values: the base patterns of the contract; the hex form asks for 24 at once, which finds
+# the same maximal runs; an access key likewise 4 + 16
+ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
+
+WINDOW = 20
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+# bits of entropy that a window of each character class must reach
+CLASSES = (("^[0-9a-fA-F]+$", 3.0), ("^[A-Z2-7]+=*$", 3.6), ("", 3.9))
+# candidates that are not secrets: words and their compounds, dashes and rulers, paths of words,
+# numbers with separators, UUIDs, and the documented example key
+ALLOWED = (
+    r"^[A-Za-z]+$",
+    r"^(?:[A-Za-z]*[/_=-])+[A-Za-z]*$",
+    r"^[0-9/_=-]+$",
+    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
+    r"EXAMPLE",
+    r"(?i)abcdefghijklmnopqrstuvwxyz|0123456789abcdef",
+)
+
+_SPAN = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _lit(pattern: str) -> Column:
+    return F.lit(pattern)
+
+
+def _none() -> Column:
+    return F.array().cast(_SPAN)
+
+
+def _matches(text: Column, pattern: str, kind: int, group: int | None = None, at_least: int = 0) -> Column:
+    """Spans of all leftmost non-overlapping matches, in code points.
+
+    The pieces between matches and the matches themselves alternate, so a running sum of their
+    lengths gives the places. With ``group``, a match stays if that group is long enough.
+    """
+    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
+    lens = F.transform(F.regexp_extract_all(text, _lit(f"({pattern})"), F.lit(1)), lambda m: F.length(m))
+    kept = F.transform(F.regexp_extract_all(text, _lit(f"({pattern})"), F.lit(group + 1)), lambda m: F.length(m) >= at_least) if group else F.transform(lens, lambda m: F.lit(True))
+    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + x["gap"]
+        end = begin + x["len"]
+        span = F.struct(begin.cast("int").alias("start"), F.lit(kind).alias("kind"), end.cast("int").alias("end"))
+        return F.struct(end.cast("int").alias("at"), F.when(x["keep"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+
+    rows = F.arrays_zip(gaps.alias("gap"), lens.alias("len"), kept.alias("keep"))
+    rows = F.filter(rows, lambda x: x["len"].isNotNull())
+    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+
+
+def _hot_windows(candidate: Column, threshold: Column, window: int = WINDOW) -> Column:
+    """(first, last) code points of the windows at or above ``threshold``; null if there are none.
+
+    The state of the fold holds the count of each distinct character in the window and
+    s = sum(c * log2 c); a step adds one character and removes one, changes two counts, and the
+    entropy is log2(window) - s / window.
+    """
+    chars = F.split(candidate, "")
+    chars = F.filter(chars, lambda c: c != "")
+    alphabet = F.array_distinct(chars)
+    codes = F.transform(chars, lambda c: (F.array_position(alphabet, c) - 1).cast("int"))
+    term = lambda c: F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
+    start = F.struct(
+        F.array_repeat(F.lit(0), F.size(alphabet)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("n"),
+        F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"),
+    )
+    # each step knows the character that enters and the one that leaves
+    entering = F.transform(codes, lambda c, i: F.struct(c.alias("new"), F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1)).alias("old")))
+
+    def step(acc: Column, x: Column) -> Column:
+        old_count = F.when(x["old"] >= 0, F.get(acc["counts"], x["old"])).otherwise(F.lit(0))
+        same = x["new"] == x["old"]
+        new_count = F.get(acc["counts"], x["new"])
+        s = F.when(same, acc["s"]).otherwise(acc["s"] - term(old_count) + term(old_count - 1) - term(new_count) + term(new_count + 1))
+        counts = F.when(same, acc["counts"]).otherwise(
+            F.transform(acc["counts"], lambda c, k: c + F.when(k == x["new"], F.lit(1)).otherwise(F.lit(0)) - F.when(k == x["old"], F.lit(1)).otherwise(F.lit(0)))
+        )
+        n = acc["n"] + 1
+        hot = (n >= window) & (F.round(F.lit(math.log2(window)) - s / window, 9) >= threshold)
+        return F.struct(
+            counts.alias("counts"), s.alias("s"), n.alias("n"),
+            F.when(hot, F.coalesce(acc["first"], n - window)).otherwise(acc["first"]).cast("int").alias("first"),
+            F.when(hot, n).otherwise(acc["last"]).cast("int").alias("last"),
+        )
+
+    return F.aggregate(entering, start, step, lambda acc: F.when(acc["first"].isNotNull(), F.struct(acc["first"].alias("first"), acc["last"].alias("last"))))
+
+
+def _entropy(text: Column, allowed: tuple[str, ...]) -> Column:
+    found = F.regexp_extract_all(text, _lit(f"({CANDIDATE})"), F.lit(1))
+    gaps = F.transform(F.split(text, CANDIDATE, -1), lambda g: F.length(g))
+    rows = F.filter(F.arrays_zip(gaps.alias("gap"), found.alias("c")), lambda x: x["c"].isNotNull())
+
+    def judged(c: Column) -> Column:
+        threshold = F.lit(CLASSES[-1][1])
+        for pattern, bits in reversed(CLASSES[:-1]):
+            threshold = F.when(c.rlike(pattern), F.lit(bits)).otherwise(threshold)
+        spared = F.lit(False)
+        for pattern in allowed:
+            spared = spared | c.rlike(pattern)
+        return F.when(~spared, _hot_windows(c, threshold))
+
+    rows = F.transform(rows, lambda x: F.struct(x["gap"].alias("gap"), F.length(x["c"]).alias("len"), judged(x["c"]).alias("hot")))
+    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + x["gap"]
+        span = F.struct((begin + x["hot"]["first"]).cast("int").alias("start"), F.lit(3).alias("kind"), (begin + x["hot"]["last"]).cast("int").alias("end"))
+        out = F.when(x["hot"].isNotNull(), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.struct((begin + x["len"]).cast("int").alias("at"), out.alias("out"))
+
+    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+
+
+def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets", allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
+    """Add column ``out``: array of (start, kind, end) spans of secrets, in code points, by start.
+
+    Kinds 0 to 2 are the base patterns (assign, access, hex); kind 3 marks windows of at least
+    WINDOW characters inside a maximal run of token characters whose Shannon entropy reaches the
+    bound of the run's character class, unless an allow-list pattern fits the run or a base span
+    already covers it. Everything is a per-row expression: no shuffle, no Python.
+
+    Defined cases: null and empty texts have no spans; texts of any length are read whole; every
+    repeated row is judged; all columns stay, and a clash of ``out`` gets underscores appended.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    guard = lambda probe, spans: F.when(text.rlike(probe), spans).otherwise(_none())
+    base = F.concat(
+        guard(r"(?i:password|passwd|secret|token|api_?key)", _matches(text, ASSIGN, 0, 1, 6)),
+        guard(ACCESS, _matches(text, ACCESS, 1)),
+        guard(HEX, _matches(text, HEX, 2)),
+    )
+    b, e = free_name(docs, "base_spans"), free_name(docs, "entropy_spans")
+    found = docs.withColumn(b, base).withColumn(e, guard(CANDIDATE, _entropy(text, allowed)))
+    extra = F.filter(F.col(e), lambda s: ~F.exists(F.col(b), lambda x: (x["start"] <= s["start"]) & (x["end"] >= s["end"])))
+    return found.withColumn(free_name(docs, out), F.array_sort(F.concat(F.col(b), extra))).drop(b, e)
+
+
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """Replace every secret by ``mark``; overlapping spans count as one. Null texts stay null."""
+    name = free_name(docs, "secrets")
+    found = find_secrets(docs, text_col, name)
+    text = F.col(f"`{text_col}`")
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = x["start"] >= acc["at"]
+        kept = F.when(fresh, F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)))).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), kept.alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    whole = F.aggregate(F.col(name), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return found.withColumn(text_col, F.when(F.size(name) > 0, whole).otherwise(text)).drop(name)
+
+
+def _joined(spans: Column) -> Column:
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op5_secrets(spark, sf_dir: str) -> DataFrame:
+    found = find_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), out="secrets")
+    count = lambda k: F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(_joined(F.filter("secrets", lambda s: s["kind"] < 3)), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"),
+    )
