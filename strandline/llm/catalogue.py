@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import secrets, sharding, url_filter
+from . import packing, secrets, sharding, url_filter
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_packing": packing.op2_packing,
     "op5_secrets": secrets.op5_secrets,
     "op7_url_filter": url_filter.op7_url_filter,
 }
