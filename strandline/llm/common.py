@@ -25,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def stage(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends there, and
     values that depend on the evaluation (partition numbers, random order) are fixed."""
     spark = df.sparkSession
