@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, packing, secrets, sharding, simhash, url_filter, winnowing
+from . import language, neighbours, packing, secrets, sharding, simhash, url_filter, winnowing
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_packing": packing.op2_packing,
     "op3_language_id": language.op3_language_id,
+    "op4_nearest": neighbours.op4_nearest,
     "op5_secrets": secrets.op5_secrets,
     "op6_decontamination": winnowing.op6_decontamination,
     "op7_url_filter": url_filter.op7_url_filter,
