@@ -1,13 +1,17 @@
-"""Token ids of whole texts by a tokenizer file, with a cache of words."""
+r"""Token ids of whole texts by a tokenizer file, with caches of words.
+
+The file's pre-tokenizer lower-cases a text, drops white space and cuts the rest into pieces that
+its merges never join. So the ids of a text are those of its white-space words one after another,
+those of a word are those of its pieces, and both can be remembered.
+"""
 
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000  # entries of either cache
 
 # the usual range: tab, line ends, printable ASCII and Latin-1 letters and signs; there, lower-casing
 # is one to one, NFC changes nothing, and the classes below equal \p{L} and \p{N}
@@ -17,26 +21,25 @@ _NUMBER = "0-9²³¹¼-¾"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LETTER}{_NUMBER}]+")
 
 
-class _Words(dict):
-    """Word -> tuple of ids; dropped and begun again when full, so memory stays bounded."""
+class _Cache(dict):
+    """Text -> its ids as bytes; dropped and begun again when full, so memory stays bounded."""
 
-    def __init__(self, encode):
+    def __init__(self, make):
         super().__init__()
-        self.encode = encode
+        self.make = make
 
-    def __missing__(self, word):
+    def __missing__(self, key):
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = self[word] = tuple(self.encode(word, add_special_tokens=False).ids)
-        return ids
+        made = self[key] = self.make(key)
+        return made
 
 
 class WordBpe:
     """Encoder with the ids of the tokenizer file itself.
 
-    The file's pre-tokenizer cuts a text into pieces that are encoded one by one, so the ids of a
-    text are those of its pieces. Texts outside the usual range, and texts with the file's
-    special strings, go to the tokenizer whole.
+    Texts outside the usual range, and texts with the file's special strings, go to the tokenizer
+    whole.
     """
 
     def __init__(self, path: str):
@@ -44,12 +47,24 @@ class WordBpe:
 
         self.whole = Tokenizer.from_file(path)
         self.specials = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
-        self.words = _Words(self.whole.encode)
+        self.dtype = np.dtype("<u2" if self.whole.get_vocab_size() <= 1 << 16 else "<u4")
+        model, bytes_as_letters = self.whole.model, self.whole.pre_tokenizer
+
+        as_bytes = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.whole.get_vocab_size())]
+
+        def piece(text: str) -> bytes:
+            # the pre-tokenizer gives this one piece in the letters that stand for its bytes
+            letters = text if text.isascii() else bytes_as_letters.pre_tokenize_str(text)[0][0]
+            return b"".join([as_bytes[t.id] for t in model.tokenize(letters)])
+
+        self.pieces = _Cache(piece)
+        pieces, find = self.pieces.__getitem__, _PIECE.findall
+        self.words = _Cache(lambda word: b"".join(map(pieces, find(word))))
 
     def encode(self, text: str) -> np.ndarray:
         if _PLAIN.fullmatch(text) is None or any(s in text for s in self.specials):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        return np.fromiter(chain.from_iterable(map(self.words.__getitem__, _PIECE.findall(text.lower()))), np.uint32)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.dtype)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, text.lower().split())), self.dtype)
 
 
 _open: dict[str, WordBpe] = {}
