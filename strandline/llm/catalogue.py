@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, lm_score, neighbours, packing, secrets, sharding, simhash, url_filter, winnowing
+from . import language, lm_score, neighbours, packing, secrets, sharding, simhash, token_output, url_filter, winnowing
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontamination": winnowing.op6_decontamination,
     "op7_url_filter": url_filter.op7_url_filter,
     "op8_lm_score": lm_score.op8_lm_score,
+    "op9_token_output": token_output.op9_token_output,
     "op10_simhash": simhash.op10_simhash,
 }
 ORACLES = {"op7_url_filter": url_filter.ORACLE_SQL}
