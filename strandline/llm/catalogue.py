@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import language, lm_score, neighbours, packing, secrets, sharding, simhash, token_output, url_filter, winnowing
 
 QUERIES = {
@@ -15,5 +17,6 @@ QUERIES = {
     "op8_lm_score": lm_score.op8_lm_score,
     "op9_token_output": token_output.op9_token_output,
     "op10_simhash": simhash.op10_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op7_url_filter": url_filter.ORACLE_SQL}
