@@ -15,8 +15,8 @@ from .common import arrow_rows, slices, stage, utf8
 from .winnowing import SLICE, gram_hashes, word_hashes, words_of
 
 BACKOFF = 0.4
-BLOCK_BYTES = 32 << 20  # text of a block of documents
-BUCKET_BYTES = 64 << 20  # text whose n-grams one hash bucket holds, on average
+BLOCK_BYTES = 8 << 20  # text of a block of documents
+BUCKET_BYTES = 16 << 20  # text whose n-grams one hash bucket holds, on average
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
