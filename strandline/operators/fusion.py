@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import POOL_FACTOR, POOL_LEAST, POOL_MOST, RANK_DIGITS, WEIGHTS, rrf_weight
 from ..functions.text import clamp
-from .lexical import bm25_top, ranked
-from .sizes import broadcast_up_to
+from .lexical import QueryTerms, bm25_top, ranked
 from .vectors import cosine_top
 
+BROADCAST_ROWS = 300_000  # candidates that are broadcast, at most
+
 
 def pool_size(top: int) -> int:
     return clamp(POOL_FACTOR * top, POOL_LEAST, POOL_MOST)
@@ -48,13 +49,15 @@ def hybrid_top(queries: DataFrame, index, top: int = 5, language: str | None = N
     pool = pool_size(top)
     filtered = language is not None or source is not None
     allowed = matching(index.records, language, source) if filtered else None
+    terms = QueryTerms(queries)
     fused = fuse({
         "vector": cosine_top(queries, index.vectors, pool, allowed),
-        "body": bm25_top(queries, index.body_postings, index.body_lengths, pool),
-        "path": bm25_top(queries, index.path_postings, index.path_lengths, pool),
+        "body": bm25_top(terms, index.body_postings, index.stats("body"), pool),
+        "path": bm25_top(terms, index.path_postings, index.stats("path"), pool),
     })
-    # a bounded number of candidates a query; the records they miss are dropped
-    found = index.records.join(broadcast_up_to(fused, 200_000), "id")
+    # three pools a query bound the candidates; those without a record are dropped
+    most = 3 * pool * queries.limit(BROADCAST_ROWS).count()
+    found = index.records.join(F.broadcast(fused) if most <= BROADCAST_ROWS else fused, "id")
     found = matching(found, language, source)
     order = [F.desc(F.round("fused", RANK_DIGITS)), F.desc(F.round("body", RANK_DIGITS)), F.desc(F.round("vector", RANK_DIGITS)), F.asc("id")]
     best = ranked(found, top, order)

@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions.scoring import RANK_DIGITS, bm25_weight
 from ..functions.text import token_array
-from .sizes import broadcast_up_to
+
+FEW_TERMS = 200_000  # query terms that are broadcast, at most
+PUSHED_TERMS = 500  # query terms that are a filter of the scan, at most
 
 
 def tokenize(docs: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
@@ -32,6 +34,12 @@ def postings(frequencies: DataFrame, doc_lengths: DataFrame) -> DataFrame:
     return frequencies.join(doc_lengths, "id").select("term", "id", "tf", "dl")
 
 
+def lengths_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """`lengths` from stored postings, where each has its document's length: no text is read."""
+    dl = found.groupBy("id").agg(F.max("dl").alias("dl"))
+    return docs.select("id").join(dl, "id", "left").select("id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
+
+
 def build(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(postings, lengths) of documents with columns id and ``text``."""
     tf = term_frequencies(docs, text)
@@ -62,25 +70,45 @@ def ranked(scores: DataFrame, k: int, order: list, by: str = "query_id") -> Data
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def bm25_scores(queries: DataFrame, found: DataFrame, doc_lengths: DataFrame, text: str = "text") -> DataFrame:
-    """(query_id, id, score) of all documents with a query term.
+class QueryTerms:
+    """The terms of a query table: held here while few, a DataFrame with no bound otherwise."""
+
+    def __init__(self, queries: DataFrame, text: str = "text"):
+        self.table = query_terms(queries, text)
+        rows = self.table.limit(FEW_TERMS + 1).collect()
+        self.few = len(rows) <= FEW_TERMS
+        if self.few:
+            self.table = F.broadcast(queries.sparkSession.createDataFrame([tuple(r) for r in rows], self.table.schema))
+            self.distinct = sorted({r["term"] for r in rows})
+
+    def postings(self, found: DataFrame) -> DataFrame:
+        """The postings of these terms: a filter that reaches the scan, or a semi-join."""
+        if self.few and len(self.distinct) <= PUSHED_TERMS:
+            return found.where(F.col("term").isin(self.distinct))
+        return found.join(self.table.select("term").distinct(), "term", "left_semi")
+
 
-    Query terms are broadcast while few, so postings, however skewed by frequent terms, stay where
-    they are and only (query, document) partial sums are shuffled; with too many, Spark joins by
-    term. The document frequencies needed are those of the query terms alone.
+def bm25_scores(terms: QueryTerms, found: DataFrame, stats: tuple[int, int]) -> DataFrame:
+    """(query_id, id, score) of all documents with a query term; ``stats`` is (n, total).
+
+    Few query terms are broadcast, and with them their document frequencies, no more rows; then
+    postings, however skewed by frequent terms, stay where they are and only (query, document)
+    partial sums are shuffled. With more, Spark joins by term.
     """
-    terms = query_terms(queries, text)
-    wanted = broadcast_up_to(terms.select("term").distinct(), 200_000)
-    hits = found.join(wanted, "term", "left_semi")
-    df = broadcast_up_to(document_frequencies(hits), 200_000)
-    stats = collection_stats(doc_lengths)  # one row
-    weighed = hits.join(df, "term").crossJoin(F.broadcast(stats))
-    average = F.col("total").cast("double") / F.col("n")
-    weighed = weighed.select("term", "id", bm25_weight(F.col("tf").cast("double"), F.col("dl"), F.col("df"), F.col("n"), average).alias("w"))
-    return weighed.join(broadcast_up_to(terms, 200_000), "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
-
-
-def bm25_top(queries: DataFrame, found: DataFrame, doc_lengths: DataFrame, k: int, text: str = "text") -> DataFrame:
+    n, total = stats
+    hits = terms.postings(found)
+    df = document_frequencies(hits)
+    df = F.broadcast(df) if terms.few else df
+    weight = bm25_weight(F.col("tf").cast("double"), F.col("dl"), F.col("df"), F.lit(n), F.lit(total / n if n else 1.0))
+    weighed = hits.join(df, "term").select("term", "id", weight.alias("w"))
+    return weighed.join(terms.table, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+
+
+def bm25_top(terms: QueryTerms, found: DataFrame, stats: tuple[int, int], k: int) -> DataFrame:
     """The k best documents of each query: query_id, id, score, rank; ties to the smaller id."""
-    scores = bm25_scores(queries, found, doc_lengths, text)
-    return ranked(scores, k, [F.desc(F.round("score", RANK_DIGITS)), F.asc("id")])
+    return ranked(bm25_scores(terms, found, stats), k, [F.desc(F.round("score", RANK_DIGITS)), F.asc("id")])
+
+
+def stats_of(doc_lengths: DataFrame) -> tuple[int, int]:
+    row = collection_stats(doc_lengths).first()
+    return row["n"], row["total"]

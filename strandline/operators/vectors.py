@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from typing import Protocol
 
 import numpy as np
@@ -34,17 +35,28 @@ class HashingEmbedder:
         self.dimensions = dimensions
 
     def column(self, text: Column) -> Column:
-        def signed(t: Column) -> Column:
-            h = F.md5(t.cast("binary"))
-            number = lambda at, n: F.conv(F.substring(h, at, n), 16, 10).cast("int")
-            return F.struct((number(1, 4) % self.dimensions).alias("bucket"), F.when(number(5, 2) % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("sign"))
-
-        hashed = F.transform(token_array(text), signed)
-        zero = F.array_repeat(F.lit(0.0), self.dimensions)
-        add = lambda acc, x: F.transform(acc, lambda v, i: v + F.when(i == x["bucket"], x["sign"]).otherwise(F.lit(0.0)))
-        total = F.aggregate(hashed, zero, add)
-        size = F.sqrt(F.aggregate(total, F.lit(0.0), lambda s, v: s + v * v))
-        return F.transform(total, lambda v: F.when(size > 0, v / size).otherwise(F.lit(0.0)).cast("float"))
+        dimensions = self.dimensions
+        known: dict[str, tuple[int, float]] = {}  # of one worker, bounded
+
+        @F.pandas_udf("array<float>")
+        def embed(tokens: pd.Series) -> pd.Series:
+            def place(token: str) -> tuple[int, float]:
+                if token not in known:
+                    if len(known) > 500_000:
+                        known.clear()
+                    h = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
+                    known[token] = int(h[:4], 16) % dimensions, 1.0 if int(h[4:6], 16) % 2 == 0 else -1.0
+                return known[token]
+
+            def one(ts) -> np.ndarray:
+                places = [place(t) for t in ts]
+                v = np.bincount([p for p, _ in places], weights=[w for _, w in places], minlength=dimensions) if places else np.zeros(dimensions)
+                size = np.sqrt((v * v).sum())
+                return (v / size if size > 0 else v).astype(np.float32)
+
+            return tokens.map(one)
+
+        return embed(token_array(text))
 
 
 class StaticEmbedder:

@@ -155,7 +155,7 @@ def _one(spark, text: str) -> DataFrame:
 
 def _bm25(spark, sf_dir, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     found, dl = lexical.build(docs)
-    return lexical.bm25_top(queries, found, dl, k)
+    return lexical.bm25_top(lexical.QueryTerms(queries), found, lexical.stats_of(dl), k)
 
 
 @query(f"with {_DOCS}, asked as (select 0 query_id, '{TEXT_QUERY}' t), {sql.bm25('asked', 'docs', 'd', TOP)} select id doc_id, rank::int rank, round(score, 6) score from d_top")
@@ -278,7 +278,7 @@ lists as (select id, score, rank, 'vector' l from vec_top union all select id, s
 select id, round(sum(1.0::double / (60 + rank)), 6) fused, round(coalesce(max(score) filter (where l = 'body'), 0), 6) body, round(coalesce(max(score) filter (where l = 'vector'), 0), 6) vector from lists group by id""")
 def rrf_fusion(spark, sf_dir):
     found, dl = lexical.build(_docs(spark, sf_dir))
-    lists = {"vector": vectors.cosine_top(_one_vector(spark, sf_dir), _vectors(spark, sf_dir), 50), "body": lexical.bm25_top(_one(spark, TEXT_QUERY), found, dl, 50)}
+    lists = {"vector": vectors.cosine_top(_one_vector(spark, sf_dir), _vectors(spark, sf_dir), 50), "body": lexical.bm25_top(lexical.QueryTerms(_one(spark, TEXT_QUERY)), found, lexical.stats_of(dl), 50)}
     return fusion.fuse(lists).select("id", _shown("fused"), _shown("body"), _shown("vector"))
 
 

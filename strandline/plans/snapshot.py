@@ -35,6 +35,13 @@ class Index:
         except KeyError:
             raise AttributeError(name) from None
 
+    def stats(self, part: str) -> tuple[int, int]:
+        """(documents, tokens) of body or path; computed once, as an index does not change."""
+        known = self.__dict__.setdefault("_stats", {})
+        if part not in known:
+            known[part] = lexical.stats_of(self.tables[f"{part}_lengths"])
+        return known[part]
+
     def cache(self) -> Index:
         """Keep the tables in executor memory: the resident form for many queries."""
         for t in self.tables.values():
@@ -122,7 +129,10 @@ class Store:
     def _put(self, index: Index, version: int, shards: int) -> dict[str, dict[str, str]]:
         """Write the tables, a folder per shard: sorted, so that parquet statistics find a term."""
         places = {}
+        stored: dict[str, DataFrame] = {}
         for name, df in index.tables.items():
+            if name.endswith("_lengths") and f"{name.removesuffix('_lengths')}_postings" in stored:
+                df = lexical.lengths_of(stored["records"], stored[f"{name.removesuffix('_lengths')}_postings"])
             folder = f"v{version}-{uuid.uuid4().hex[:8]}/{name}"
             (
                 df.withColumn("shard", shard_of("id", shards)).repartition(shards, "shard").sortWithinPartitions("shard", SORTED_BY[name])
@@ -130,6 +140,7 @@ class Store:
             )
             listed = self._fs.listStatus(self._path(f"{self.root}/{folder}"))
             names = [s.getPath().getName() for s in listed]
+            stored[name] = self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{folder}")
             places[name] = {n.removeprefix("shard="): f"{folder}/{n}" for n in names if n.startswith("shard=")}
         return places
 
