@@ -67,7 +67,7 @@ def result_json():
 
 
 def _head():
-    score = F.lpad(F.format_number(F.col("score").cast("double"), "0.000"), 6, " ")
+    score = F.format_string("%6.3f", F.col("score").cast("double"))
     return F.concat(score, F.lit("  ["), F.col("language"), F.lit("]  "), F.col("source"), F.lit(":"), F.col("location"))
 
 

@@ -6,7 +6,7 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import body_text, one_line, path_text, shard_of
@@ -65,12 +65,10 @@ def to_records(passages: DataFrame, language=None) -> DataFrame:
     one record.
     """
     rows = passages.select(record_id().alias("id"), "source", "location", "title", "text").dropDuplicates(["id"])
-    if language is None:
-        rows = rows.withColumn("language", F.lit("und"))
-    elif hasattr(language, "predict"):
-        rows = rows.join(language.predict(rows.select("id", one_line("text").alias("text"))), "id")
+    if language is None or isinstance(language, Column):
+        rows = rows.withColumn("language", F.lit("und") if language is None else language)
     else:
-        rows = rows.withColumn("language", language)
+        rows = rows.join(language.predict(rows.select("id", one_line("text").alias("text"))), "id")
     return rows.select([f.name for f in RECORD.fields])
 
 

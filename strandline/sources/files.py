@@ -77,9 +77,11 @@ def _read(spark: SparkSession, root: str, paths: list[str] | None) -> DataFrame:
         files = reader.option("recursiveFileLookup", "true").load(root)
     else:
         files = reader.load([f"{root}/{p}" for p in paths])
-    bare = F.regexp_replace(F.col("path"), "^file:/*", "/") if "://" not in root else F.col("path")
+    # rows carry the file system's own form of a path, so the root takes it too
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    return files.select(relative_path(bare, root).alias("path"), text.alias("text"))
+    return files.select(relative_path("path", whole).alias("path"), text.alias("text"))
 
 
 def scan_directory(spark: SparkSession, root: str) -> DataFrame:
