@@ -20,6 +20,7 @@ from .operators.vectors import HashingEmbedder, StaticEmbedder
 from .plans.service import TOP, SearchService
 from .plans.snapshot import SHARDS, Store, build, to_records
 from .schemas import CHANGE, PASSAGE
+from .shipping import ship
 from .sources.files import git_ignored, scan_directory, scan_paths
 from .sources.git import scan_commits
 from .streaming.live import DEBOUNCE_MS, LiveIndex, change_feed
@@ -28,7 +29,9 @@ CONNECT_S, READ_S = 1, 60
 
 
 def session() -> SparkSession:
-    return SparkSession.builder.appName("strandline").config("spark.sql.adaptive.enabled", "true").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    spark = SparkSession.builder.appName("strandline").config("spark.sql.adaptive.enabled", "true").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    ship(spark)
+    return spark
 
 
 def embedder_of(args):

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 RUN = r"[\p{L}\p{Nd}&&[\x{0000}-\x{FFFF}]]+"
 # digits; capitals and what follows them; other letters
 PIECE = r"\p{Nd}+|\p{Lu}+[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]*|[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+"
+# where a run is cut: a capital after something else, and digits next to letters
+SEAM = r"[^\p{Lu}]\p{Lu}|\p{Nd}\P{Nd}|\P{Nd}\p{Nd}"
 LINE_END = r"\r\n|\r|\n"
 ANY_LINE_END = r"\r\n|[\n\r\f\x{85}\x{2028}\x{2029}]"
 BLANK = r"(?U)^\s*$"
@@ -26,14 +28,19 @@ def fold_case(c: Column) -> Column:
 
 
 def token_array(text: Column | str) -> Column:
-    """Lower-cased tokens: the pieces of each run, and the whole run after them if there are several."""
+    """Lower-cased tokens: the pieces of each run, and the whole run after them if there are several.
+
+    Most runs are one piece, which a cheap test tells; case is folded once for the whole array,
+    as tokens hold no space.
+    """
 
     def tokens(run: Column) -> Column:
         pieces = F.regexp_extract_all(run, F.lit(f"({PIECE})"), F.lit(1))
-        return F.when(F.size(pieces) > 1, F.concat(pieces, F.array(run))).otherwise(pieces)
+        return F.when(run.rlike(SEAM), F.concat(pieces, F.array(run))).otherwise(F.array(run))
 
-    runs = F.regexp_extract_all(F.coalesce(as_column(text), F.lit("")), F.lit(f"({RUN})"), F.lit(1))
-    return F.transform(F.flatten(F.transform(runs, tokens)), fold_case)
+    runs = F.regexp_extract_all(F.coalesce(as_column(text), F.lit("")), F.lit(RUN), F.lit(0))
+    joined = F.array_join(F.flatten(F.transform(runs, tokens)), " ")
+    return F.when(joined != "", F.split(fold_case(joined), " ")).otherwise(F.array().cast("array<string>"))
 
 
 def trimmed(c: Column) -> Column:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scoring import POOL_FACTOR, POOL_LEAST, POOL_MOST, RANK_DIGITS, WEIGHTS, rrf_weight
-from ..functions.text import clamp
+from ..functions.text import clamp, token_array
 from .lexical import QueryTerms, bm25_top, ranked
-from .vectors import cosine_top
+from .vectors import FEW_QUERIES, cosine_top, cosine_top_of
 
 BROADCAST_ROWS = 300_000  # candidates that are broadcast, at most
 
@@ -49,15 +49,21 @@ def hybrid_top(queries: DataFrame, index, top: int = 5, language: str | None = N
     pool = pool_size(top)
     filtered = language is not None or source is not None
     allowed = matching(index.records, language, source) if filtered else None
-    terms = QueryTerms(queries)
+    # few queries are fetched once, terms and vectors together
+    asked = queries.select("query_id", "vector", F.array_distinct(token_array("text")).alias("terms")).limit(FEW_QUERIES + 1).collect()
+    if len(asked) <= FEW_QUERIES:
+        terms = QueryTerms(queries, known=[(r["query_id"], t) for r in asked for t in r["terms"]])
+        nearest = cosine_top_of([r for r in asked if r["vector"] is not None], queries, index.vectors, pool, allowed)
+    else:
+        terms, nearest = QueryTerms(queries), cosine_top(queries, index.vectors, pool, allowed)
     fused = fuse({
-        "vector": cosine_top(queries, index.vectors, pool, allowed),
+        "vector": nearest,
         "body": bm25_top(terms, index.body_postings, index.stats("body"), pool),
         "path": bm25_top(terms, index.path_postings, index.stats("path"), pool),
     })
     # three pools a query bound the candidates; those without a record are dropped
-    most = 3 * pool * queries.limit(BROADCAST_ROWS).count()
-    found = index.records.join(F.broadcast(fused) if most <= BROADCAST_ROWS else fused, "id")
+    small = 3 * pool * len(asked) <= BROADCAST_ROWS and len(asked) <= FEW_QUERIES
+    found = index.records.join(F.broadcast(fused) if small else fused, "id")
     found = matching(found, language, source)
     order = [F.desc(F.round("fused", RANK_DIGITS)), F.desc(F.round("body", RANK_DIGITS)), F.desc(F.round("vector", RANK_DIGITS)), F.asc("id")]
     best = ranked(found, top, order)

@@ -73,13 +73,14 @@ def ranked(scores: DataFrame, k: int, order: list, by: str = "query_id") -> Data
 class QueryTerms:
     """The terms of a query table: held here while few, a DataFrame with no bound otherwise."""
 
-    def __init__(self, queries: DataFrame, text: str = "text"):
+    def __init__(self, queries: DataFrame, text: str = "text", known: list[tuple] | None = None):
+        """``known``: the (query_id, term) pairs, if they are here already."""
         self.table = query_terms(queries, text)
-        rows = self.table.limit(FEW_TERMS + 1).collect()
+        rows = self.table.limit(FEW_TERMS + 1).collect() if known is None else known
         self.few = len(rows) <= FEW_TERMS
         if self.few:
             self.table = F.broadcast(queries.sparkSession.createDataFrame([tuple(r) for r in rows], self.table.schema))
-            self.distinct = sorted({r["term"] for r in rows})
+            self.distinct = sorted({r[1] for r in rows})
 
     def postings(self, found: DataFrame) -> DataFrame:
         """The postings of these terms: a filter that reaches the scan, or a semi-join."""

@@ -14,6 +14,7 @@ from ..functions.scoring import RANK_DIGITS
 from ..functions.text import token_array
 from .lexical import ranked
 
+FEW_QUERIES = 4096  # query rows that are fetched in one job, at most
 QUERY_BYTES = 64 << 20  # query vectors that are sent to the workers at once
 
 
@@ -123,9 +124,16 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFram
     before the top-k, so the list is full of rows that match. Query vectors go out in blocks of
     bounded size; each Arrow batch is one matrix product and gives k rows a query at most.
     """
+    asked = queries.where("vector is not null").select("query_id", "vector")
+    few = asked.limit(FEW_QUERIES + 1).collect()
+    return cosine_top_of(few if len(few) <= FEW_QUERIES else asked.toLocalIterator(), queries, vectors, k, allowed)
+
+
+def cosine_top_of(asked, queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """`cosine_top` for rows (query_id, vector) that are here already, or come one by one."""
     pool = vectors if allowed is None else vectors.join(allowed.select("id"), "id", "left_semi")
     found = None
-    for names, matrix in _query_blocks(queries):
+    for names, matrix in _query_blocks(asked):
         part = pool.select("id", "embedding").mapInPandas(_searcher(names, matrix, k), "query_id long, id long, score double")
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -133,9 +141,9 @@ def cosine_top(queries: DataFrame, vectors: DataFrame, k: int, allowed: DataFram
     return ranked(found, k, [F.desc(F.round("score", RANK_DIGITS)), F.asc("id")])
 
 
-def _query_blocks(queries: DataFrame):
+def _query_blocks(asked):
     names, rows, size = [], [], 0
-    for r in queries.where("vector is not null").select("query_id", "vector").toLocalIterator():
+    for r in asked:
         v = np.array(r["vector"], np.float64)
         names.append(r["query_id"])
         rows.append(v / (np.linalg.norm(v) or 1.0))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clamp, snippet
 from ..operators.fusion import hybrid_top
 from ..operators.vectors import Embedder, HashingEmbedder
+from ..shipping import ship
 
 TOP, TOP_MOST = 5, 50
 SOURCES = ("file", "git")
@@ -19,7 +20,7 @@ def query_rows(spark: SparkSession, texts: list[str], embedder: Embedder | None
     """A query table (query_id, text, vector) of some texts; blank ones are refused."""
     if any(not t or not t.strip() for t in texts):
         raise ValueError("a query must not be blank")
-    rows = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string").coalesce(1)
     return rows.withColumn("vector", (embedder or HashingEmbedder()).column(F.col("text")))
 
 
@@ -27,6 +28,7 @@ class SearchService:
     """Hybrid search over an index; results are DataFrames or rendered text."""
 
     def __init__(self, spark: SparkSession, index, embedder: Embedder | None = None):
+        ship(spark)
         self.spark, self.index, self.embedder = spark, index, embedder or HashingEmbedder()
 
     def search_many(self, queries: DataFrame, top: int = TOP, language: str | None = None, source: str | None = None) -> DataFrame:
@@ -38,7 +40,8 @@ class SearchService:
     def search(self, query: str, top: int = TOP, language: str | None = None, source: str | None = None) -> DataFrame:
         if source is not None and source not in SOURCES:
             raise ValueError(f"source must be one of {', '.join(SOURCES)}")
-        return self.search_many(query_rows(self.spark, [query], self.embedder), top, language, source).orderBy("rank")
+        # one query is one partition of the last window, which leaves it in the order of ranks
+        return self.search_many(query_rows(self.spark, [query], self.embedder), top, language, source)
 
     def respond(self, request: str) -> str:
         """One JSON line in, one out; a service's ``top`` is held between 1 and TOP_MOST."""
