@@ -222,7 +222,7 @@ def identify(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
     return with_language(docs, out, train(samples_of(docs, id_col, text_col, lang_col)), text_col)
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """Documents whose text has a language, predicted with a score of ``least`` or more."""
     name = free_name(docs, "language")
     found = identify(docs, name)
