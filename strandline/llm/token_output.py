@@ -23,6 +23,8 @@ LENGTH = 2048  # ids of a sequence
 END_ID = 1
 SHARD_BYTES = 64 << 20
 ROUNDS = 6
+LEVEL = 6  # of the compression in transit; with a dictionary, the first that profits from it
+DICTIONARY_BYTES, DICTIONARY_TEXTS, DICTIONARY_CHARS = 256 << 10, 2000, 4000
 KEY = 0x5EED
 
 
@@ -51,7 +53,19 @@ def permute(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, length: int, end_id: int) -> DataFrame:
+def dictionary(docs: DataFrame, tokenizer: str, text_col: str) -> bytes:
+    """A compression dictionary of at most DICTIONARY_BYTES, from ids of some texts' beginnings.
+
+    It serves only the size of records on their way: what is written does not depend on it.
+    """
+    some = docs.select(F.substring(F.col(f"`{text_col}`"), 1, DICTIONARY_CHARS).alias("t")).where("t <> ''").limit(DICTIONARY_TEXTS).collect()
+    encoder = word_bpe(tokenizer)
+    ids = b"".join(encoder.encode(r["t"]).tobytes() for r in some)
+    parts = [ids[i : i + 4096] for i in range(0, len(ids), 4096)]
+    return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes() if len(parts) >= 256 else b""
+
+
+def sequences(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, length: int, end_id: int, known: bytes) -> DataFrame:
     """Token ids of each partition's documents end to end, cut every ``length`` ids; the last is
     padded with the end id. Columns: part, nth, n_tokens, record (compressed), pieces."""
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -60,7 +74,7 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, lengt
 
     def run(batches):
         encoder, part = word_bpe(tokenizer), TaskContext.get().partitionId()
-        squeeze = zstandard.ZstdCompressor(level=3).compress
+        squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(known) if known else None).compress
         buffer, pieces, used, nth, rows, kind = [], [], 0, 0, [], None
         end = np.array([end_id], encoder.dtype)
 
@@ -114,7 +128,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     """
     spark = docs.sparkSession
     arrow_rows(spark, 256)
-    staged = stage(sequences(docs, tokenizer, id_col, text_col, length, end_id), "sequences", "uncompressed")
+    known = dictionary(docs, tokenizer, text_col)
+    staged = stage(sequences(docs, tokenizer, id_col, text_col, length, end_id, known), "sequences", "uncompressed")
     counts = staged.groupBy("part").count()
     total = counts.agg(F.sum("count")).first()[0] or 0
     width = word_bpe(tokenizer).dtype.itemsize
@@ -138,7 +153,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     def write(batches):
         fs, root = pafs.FileSystem.from_uri(path)
         attempt = TaskContext.get().taskAttemptId()
-        expand = zstandard.ZstdDecompressor().decompress
+        expand = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(known) if known else None).decompress
         fs.create_dir(f"{root}/_attempts", recursive=True)
         now, out = None, None
 

@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-CACHE_WORDS = 500_000  # entries of either cache
+CACHE_WORDS = CACHE_PIECES = 1_000_000  # entries of the caches, at most: about 250 MB in all
 
 # the usual range: tab, line ends, printable ASCII and Latin-1 letters and signs; there, lower-casing
 # is one to one, NFC changes nothing, and the classes below equal \p{L} and \p{N}
@@ -24,12 +24,12 @@ _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\s{_LE
 class _Cache(dict):
     """Text -> its ids as bytes; dropped and begun again when full, so memory stays bounded."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.most:
             self.clear()
         made = self[key] = self.make(key)
         return made
@@ -57,9 +57,9 @@ class WordBpe:
             letters = text if text.isascii() else bytes_as_letters.pre_tokenize_str(text)[0][0]
             return b"".join([as_bytes[t.id] for t in model.tokenize(letters)])
 
-        self.pieces = _Cache(piece)
+        self.pieces = _Cache(piece, CACHE_PIECES)
         pieces, find = self.pieces.__getitem__, _PIECE.findall
-        self.words = _Cache(lambda word: b"".join(map(pieces, find(word))))
+        self.words = _Cache(lambda word: b"".join(map(pieces, find(word))), CACHE_WORDS)
 
     def encode(self, text: str) -> np.ndarray:
         if _PLAIN.fullmatch(text) is None or any(s in text for s in self.specials):
