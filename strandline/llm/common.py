@@ -31,7 +31,27 @@ def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._staged_path = path
+    spark.__dict__.setdefault("_staged_paths", set()).add(path)
+    return made
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    spark.__dict__.get("_staged_paths", set()).discard(path)
+
+
+def discard(staged: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more, such as an earlier round's."""
+    _delete(staged.sparkSession, staged._staged_path)
+
+
+def discard_all(spark: SparkSession) -> None:
+    """Delete every table this session has staged; call it when the results are written."""
+    for path in list(spark.__dict__.get("_staged_paths", ())):
+        _delete(spark, path)
 
 
 def arrow_rows(spark: SparkSession, rows: int) -> None:
