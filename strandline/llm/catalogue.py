@@ -19,4 +19,9 @@ QUERIES = {
     "op10_simhash": simhash.op10_simhash,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op7_url_filter": url_filter.ORACLE_SQL}
+ORACLES = {
+    "op5_secrets": secrets.ORACLE_SQL,
+    "op6_decontamination": winnowing.ORACLE_SQL,
+    "op7_url_filter": url_filter.ORACLE_SQL,
+    "op8_lm_score": lm_score.ORACLE_SQL,
+}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_rows, slices, stage, utf8
-from .winnowing import SLICE, gram_hashes, word_hashes, words_of
+from .winnowing import _WORDS_SQL, SLICE, gram_hashes, word_hashes, words_of
 
 BACKOFF = 0.4
 BLOCK_BYTES = 8 << 20  # text of a block of documents
@@ -187,4 +187,24 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
 
 def op8_lm_score(spark, sf_dir: str) -> DataFrame:
-    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    scored = lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 3).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+ORACLE_SQL = f"""
+with d as (select row_number() over () rid, doc_id, {_WORDS_SQL} w from documents),
+t as (select rid, unnest(w) x, unnest(generate_series(1, len(w))) i from d),
+p as (select rid, i, x, lag(x) over (partition by rid order by i) v from t),
+total as (select count(*) n from t),
+one as (select x, count(*) c from t group by x), own1 as (select rid, x, count(*) c from t group by all),
+two as (select v, x, count(*) c from p where v is not null group by all), own2 as (select rid, v, x, count(*) c from p where v is not null group by all),
+terms as (
+  select p.rid, n - len(w) rest, one.c - own1.c single, coalesce(two.c - own2.c, 0) both_, coalesce(vone.c - vown.c, 0) context, p.v
+  from p join d using (rid) cross join total join one on one.x = p.x join own1 on own1.rid = p.rid and own1.x = p.x
+  left join two on two.v = p.v and two.x = p.x left join own2 on own2.rid = p.rid and own2.v = p.v and own2.x = p.x
+  left join one vone on vone.x = p.v left join own1 vown on vown.rid = p.rid and vown.x = p.v),
+sums as (
+  select rid, sum(case when both_ > 0 then ln(both_::double / context) else (case when v is null then 0 else ln({BACKOFF}::double) end) + (case when single > 0 then ln(single::double / rest) else -ln(rest + 1.0::double) end) end) s
+  from terms group by rid)
+select doc_id, len(w)::bigint n_words, round(coalesce(s, 0), 3) log_score, round(s / nullif(len(w), 0), 6) mean_log_score from d left join sums using (rid)
+"""

@@ -180,3 +180,33 @@ def op5_secrets(spark, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(_joined(F.filter("secrets", lambda s: s["kind"] < 3)), 256).alias("base_sha256"), _joined(F.col("secrets")).alias("spans"),
     )
+
+
+def _spans_sql(kind: int, pattern: str, group: int = 0, at_least: int = 0) -> str:
+    """(rid, k, s, e): spans of a pattern, from the lengths of the pieces around its matches."""
+    keep = f"where length(regexp_extract(m, '{pattern}', {group})) >= {at_least}" if group else ""
+    return f"""select rid, {kind} k, e - length(m) s, e from (
+  select rid, m, (sum(length(g) + length(m)) over (partition by rid order by i))::bigint e from (
+    select rid, i, regexp_split_to_array(text, '{pattern}')[i] g, regexp_extract_all(text, '{pattern}')[i] m
+    from (select rid, text, unnest(generate_series(1, len(regexp_extract_all(text, '{pattern}')))) i from d where regexp_matches(text, '{pattern}')))) {keep}"""
+
+
+_PLAIN_CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+_ASSIGN_SQL = ASSIGN.replace("'", "''")
+_BOUND_SQL = "case " + " ".join(f"when regexp_matches(c, '{p}') then {b}" for p, b in CLASSES[:-1]) + f" else {CLASSES[-1][1]} end"
+_SPARED_SQL = " or ".join(f"regexp_matches(c, '{p}')" for p in ALLOWED)
+_JOINED_SQL = "coalesce(string_agg(['" + "','".join(KINDS) + "'][k + 1] || ':' || s || ':' || e, ',' order by s, k, e)"
+ORACLE_SQL = f"""
+with d as (select row_number() over () rid, doc_id, coalesce(text, '') as text from documents),
+base as ({_spans_sql(0, _ASSIGN_SQL, 1, 6)} union all {_spans_sql(1, ACCESS)} union all {_spans_sql(2, HEX)}),
+runs as ({_spans_sql(3, _PLAIN_CANDIDATE)}),
+cand as (select rid, s, e, substr(text, s + 1, e - s) c from runs join d using (rid)),
+windows as (select rid, s, c, {_BOUND_SQL} bound, unnest(generate_series(0, length(c) - {WINDOW})) a from cand where not ({_SPARED_SQL})),
+letters as (select rid, s, a, bound, x, count(*) n from (select rid, s, a, bound, unnest(string_split(substr(c, a + 1, {WINDOW}), '')) x from windows) group by all),
+hot as (select rid, s, a from letters group by rid, s, a, bound having round(-sum(n / {WINDOW}.0::double * log2(n / {WINDOW}.0::double)), 9) >= bound),
+wide as (select rid, 3 k, s + min(a) s, s + max(a) + {WINDOW} e from hot group by rid, hot.s),
+spans as (select * from base union all select * from wide w where not exists (select 1 from base b where b.rid = w.rid and b.s <= w.s and b.e >= w.e))
+select doc_id, count(*) filter (where k = 0) n_assign, count(*) filter (where k = 1) n_access, count(*) filter (where k = 2) n_hex,
+  sha256({_JOINED_SQL} filter (where k < 3), '')) base_sha256, {_JOINED_SQL}, '') spans
+from d left join spans using (rid) group by rid, doc_id
+"""

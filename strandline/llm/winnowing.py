@@ -292,3 +292,20 @@ def op6_decontamination(spark, sf_dir: str) -> DataFrame:
     n_words, n_hit, bad = counts(marked, "found")
     names = F.sort_array(F.transform(F.col("found")["items"], lambda x: x.cast("string")))
     return marked.select("doc_id", n_words.alias("n_words"), n_hit.alias("n_hit"), F.size(F.col("found")["items"]).cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), bad.alias("contaminated"))
+
+
+_WORDS_SQL = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL = f"""
+with d as (select row_number() over () rid, doc_id, {_WORDS_SQL} w from documents),
+i as (select item_id, {_WORDS_SQL} w from benchmark),
+iw as (select distinct item_id, n, array_to_string(w[k:k + n - 1], ' ') g
+  from (select item_id, w, least(len(w), {SPAN}) n, unnest(generate_series(1, len(w) - least(len(w), {SPAN}) + 1)) k from i where len(w) > 0)),
+dw as (select rid, n, k, array_to_string(w[k:k + n - 1], ' ') g
+  from (select rid, w, n, unnest(generate_series(1, len(w) - n + 1)) k from d cross join (select distinct n from iw) where len(w) >= n)),
+hits as (select rid, n, k, item_id from dw join iw using (n, g)),
+placed as (select rid, count(distinct p) n_hit from (select rid, unnest(generate_series(k, k + n - 1)) p from (select distinct rid, n, k from hits)) group by rid),
+named as (select rid, count(*) n_items, sha256(string_agg(s, ',' order by s)) h from (select distinct rid, item_id::varchar s from hits) group by rid)
+select doc_id, len(w)::bigint n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(h, sha256('')) items_sha256,
+  coalesce(n_hit, 0) > 0 and {SHARE} * coalesce(n_hit, 0) >= len(w) contaminated
+from d left join placed using (rid) left join named using (rid)
+"""
