@@ -57,7 +57,7 @@ def index_command(args) -> int:
     if args.git:
         passages = passages.unionByName(scan_commits(spark, args.git, args.max_commits))
     store = Store(spark, args.out)
-    store.save(build(to_records(passages).cache(), embedder_of(args)), args.shards)
+    store.save(build(to_records(passages).cache(), embedder_of(args), shards=args.shards), args.shards)
     print(f"Indexed {store.load().count()} passages.")
     return 0
 
@@ -96,7 +96,7 @@ class Service:
         self.spark = spark = session()
         self.store, self.embedder = Store(spark, args.index), embedder_of(args)
         if not self.store.exists():
-            self.store.save(build(to_records(scan_directory(spark, args.files)), self.embedder), SHARDS)
+            self.store.save(build(to_records(scan_directory(spark, args.files)), self.embedder, shards=SHARDS), SHARDS)
         root = args.files
 
         def passages_of(paths):

@@ -17,8 +17,8 @@ class NaiveBayes:
     """Multinomial naive Bayes with add-one smoothing, trained and applied relationally."""
 
     def __init__(self, labelled: DataFrame, text: str = "text", label: str = "language"):
-        tf = term_frequencies(labelled.withColumn("id", F.struct("id", label)), text)
-        self.counts = tf.groupBy(F.col(f"id.{label}").alias("language"), "term").agg(F.sum("tf").alias("c"))
+        tf = term_frequencies(labelled, text, ("id", label))
+        self.counts = tf.groupBy(F.col(label).alias("language"), "term").agg(F.sum("tf").alias("c"))
         vocabulary = self.counts.select("term").distinct().agg(F.count(F.lit(1)).alias("v"))
         priors = labelled.groupBy(F.col(label).alias("language")).agg(F.count(F.lit(1)).alias("docs"))
         totals = self.counts.groupBy("language").agg(F.sum("c").alias("tokens"))

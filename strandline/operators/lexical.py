@@ -13,25 +13,31 @@ FEW_TERMS = 200_000  # query terms that are broadcast, at most
 PUSHED_TERMS = 500  # query terms that are a filter of the scan, at most
 
 
+def by_document(docs: DataFrame, key: str = "id") -> DataFrame:
+    """``docs`` hash-partitioned by document, in no fewer partitions than there are cores.
+
+    The text is shuffled once here; term frequencies, lengths and postings, which are larger than
+    the text, are then built where they are, because a partitioning by the key serves every
+    grouping that holds it.
+    """
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(max(cores, docs.rdd.getNumPartitions()), key)
+
+
 def tokenize(docs: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
     """One row per token: key, pos (from 0), term."""
     return docs.select(key, F.posexplode(token_array(text)).alias("pos", "term"))
 
 
-def term_frequencies(docs: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
-    """(key, term, tf). The only place where text is tokenized; all statistics come from it."""
-    return docs.select(key, F.explode(token_array(text)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def lengths(docs: DataFrame, frequencies: DataFrame, key: str = "id") -> DataFrame:
-    """(key, dl) of every document, 0 for those with no token."""
-    dl = frequencies.groupBy(key).agg(F.sum("tf").alias("dl"))
-    return docs.select(key).join(dl, key, "left").select(key, F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
+def term_frequencies(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, term, tf). The only place where text is tokenized; all statistics come from it."""
+    return docs.select(*keys, F.explode(token_array(text)).alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def postings(frequencies: DataFrame, doc_lengths: DataFrame) -> DataFrame:
-    """(term, id, tf, dl): the length travels with the posting, so a search joins nothing else."""
-    return frequencies.join(doc_lengths, "id").select("term", "id", "tf", "dl")
+def lengths(docs: DataFrame, frequencies: DataFrame, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(keys, dl) of every document, 0 for those with no token."""
+    dl = frequencies.groupBy(*keys).agg(F.sum("tf").alias("dl"))
+    return docs.select(*keys).join(dl, list(keys), "left").select(*keys, F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
 
 
 def lengths_of(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -40,14 +46,13 @@ def lengths_of(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.select("id").join(dl, "id", "left").select("id", F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
 
 
-def build(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(postings, lengths) of documents with columns id and ``text``."""
-    tf = term_frequencies(docs, text)
-    # per-document terms are short next to their texts; the length is a window over the same hash
-    # partitioning by id that a second aggregate would need, without tokenizing twice
-    dl = F.sum("tf").over(Window.partitionBy("id"))
-    found = tf.withColumn("dl", dl).select("term", "id", "tf", "dl")
-    return found, lengths(docs, tf)
+def build(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("id",)) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) of documents with columns ``keys`` (id, and what it is partitioned by)
+    and ``text``. Postings are (term, keys, tf, dl): the length travels with the posting, so a
+    search joins nothing else. With ``docs`` partitioned by the first key nothing is shuffled."""
+    tf = term_frequencies(docs, text, keys)
+    dl = F.sum("tf").over(Window.partitionBy(*keys))
+    return tf.withColumn("dl", dl).select("term", *keys, "tf", "dl"), lengths(docs, tf, keys)
 
 
 def document_frequencies(found: DataFrame) -> DataFrame:

@@ -37,15 +37,8 @@ def _table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Tokenizing is the costly step: give it at least as many partitions as there are cores. A
-    table that is read in so many already is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def _docs(spark, sf_dir: str) -> DataFrame:
-    return _spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return lexical.by_document(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _shown(c: str = "score"):
@@ -230,8 +223,7 @@ def hash_embedding(spark, sf_dir):
 
 
 def _index(spark, sf_dir) -> Index:
-    docs = _spread(_table(spark, sf_dir, "documents"))
-    records = tables.document_records(docs)
+    records = lexical.by_document(tables.document_records(_table(spark, sf_dir, "documents")))
     body, body_dl = lexical.build(records.select("id", tx.body_text().alias("t")), "t")
     path, path_dl = lexical.build(records.select("id", tx.path_text().alias("t")), "t")
     pool = _vectors(spark, sf_dir).join(records.select("id"), "id", "left_semi")
@@ -330,7 +322,7 @@ s as (select d.id, l.lang, prior + coalesce(s, 0) - dl * floor score from b_dl d
 best as (select id, lang from (select *, row_number() over (partition by id order by round(score, 9) desc, lang) n from s) where n = 1)
 select test.id doc_id, coalesce(lang, 'und') as language from test left join best using (id)""")
 def language_id_nb(spark, sf_dir):
-    docs = _spread(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language")))
+    docs = lexical.by_document(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language")))
     model = language.NaiveBayes(docs.where("id % 2 = 0"))
     return model.predict(docs.where("id % 2 = 1").select("id", "text")).withColumnRenamed("id", "doc_id")
 

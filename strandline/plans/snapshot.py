@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +27,9 @@ class ReadOnlyError(RuntimeError):
 class Index:
     """Six tables: records, postings and lengths for body and path, vectors."""
 
-    def __init__(self, tables: dict[str, DataFrame], read_only: bool = False):
-        self.tables, self.read_only = tables, read_only
+    def __init__(self, tables: dict[str, DataFrame], read_only: bool = False, shards: int | None = None):
+        """``shards``: the tables have a column shard, of so many, and are partitioned by it."""
+        self.tables, self.read_only, self.shards = tables, read_only, shards
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -72,13 +74,23 @@ def to_records(passages: DataFrame, language=None) -> DataFrame:
     return rows.select([f.name for f in RECORD.fields])
 
 
-def build(records: DataFrame, embedder: Embedder | None = None, text: str = "text") -> Index:
-    """The tables of an index of records. Body text has the title; vectors see the text alone."""
-    body, body_dl = lexical.build(records.select("id", body_text().alias("t")), "t")
-    path, path_dl = lexical.build(records.select("id", path_text().alias("t")), "t")
+def build(records: DataFrame, embedder: Embedder | None = None, text: str = "text", shards: int | None = None) -> Index:
+    """The tables of an index of records. Body text has the title; vectors see the text alone.
+
+    With ``shards``, records are shuffled to their shards first and every table but the vectors
+    is built there, with a column shard; a store of so many shards writes them as they are.
+    """
+    columns, keys = [f.name for f in RECORD.fields], ("id",)
+    if shards:
+        records = records.select(*columns, shard_of("id", shards).alias("shard")).repartition(shards, "shard")
+        keys = ("shard", "id")
+    else:
+        records = lexical.by_document(records.select(columns))
+    body, body_dl = lexical.build(records.select(*keys, body_text().alias("t")), "t", keys)
+    path, path_dl = lexical.build(records.select(*keys, path_text().alias("t")), "t", keys)
     vectors = embed(records, embedder or HashingEmbedder(), text)
-    columns = [f.name for f in RECORD.fields]
-    return Index({"records": records.select(columns), "body_postings": body, "path_postings": path, "body_lengths": body_dl, "path_lengths": path_dl, "vectors": vectors})
+    tables = {"records": records, "body_postings": body, "path_postings": path, "body_lengths": body_dl, "path_lengths": path_dl, "vectors": vectors}
+    return Index(tables, shards=shards)
 
 
 class Store:
@@ -126,20 +138,24 @@ class Store:
 
     def _put(self, index: Index, version: int, shards: int) -> dict[str, dict[str, str]]:
         """Write the tables, a folder per shard: sorted, so that parquet statistics find a term."""
-        places = {}
-        stored: dict[str, DataFrame] = {}
-        for name, df in index.tables.items():
-            if name.endswith("_lengths") and f"{name.removesuffix('_lengths')}_postings" in stored:
-                df = lexical.lengths_of(stored["records"], stored[f"{name.removesuffix('_lengths')}_postings"])
-            folder = f"v{version}-{uuid.uuid4().hex[:8]}/{name}"
-            (
-                df.withColumn("shard", shard_of("id", shards)).repartition(shards, "shard").sortWithinPartitions("shard", SORTED_BY[name])
-                .write.partitionBy("shard").option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.root}/{folder}")
-            )
-            listed = self._fs.listStatus(self._path(f"{self.root}/{folder}"))
-            names = [s.getPath().getName() for s in listed]
-            stored[name] = self.spark.read.schema(TABLES[name]).parquet(f"{self.root}/{folder}")
-            places[name] = {n.removeprefix("shard="): f"{folder}/{n}" for n in names if n.startswith("shard=")}
+        folder = f"v{version}-{uuid.uuid4().hex[:8]}"
+        places: dict[str, dict[str, str]] = {}
+
+        def put(name: str, df: DataFrame) -> DataFrame:
+            if "shard" not in df.columns or index.shards != shards:
+                df = df.drop("shard").withColumn("shard", shard_of("id", shards)).repartition(shards, "shard")
+            to = f"{self.root}/{folder}/{name}"
+            df.sortWithinPartitions("shard", SORTED_BY[name]).write.partitionBy("shard").option("parquet.bloom.filter.enabled#term", "true").parquet(to)
+            names = [s.getPath().getName() for s in self._fs.listStatus(self._path(to))]
+            places[name] = {n.removeprefix("shard="): f"{folder}/{name}/{n}" for n in names if n.startswith("shard=")}
+            return self.spark.read.schema(TABLES[name]).parquet(to)
+
+        # tables that do not need one another are written side by side
+        with ThreadPoolExecutor(4) as pool:
+            independent = ("body_postings", "vectors", "records", "path_postings")
+            stored = dict(zip(independent, pool.map(lambda n: put(n, index.tables[n]), independent), strict=True))
+            parts = ("body", "path")
+            list(pool.map(lambda n: put(f"{n}_lengths", lexical.lengths_of(stored["records"], stored[f"{n}_postings"])), parts))
         return places
 
     def save(self, index: Index, shards: int = SHARDS) -> None:
