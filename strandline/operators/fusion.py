@@ -36,8 +36,9 @@ def fuse(lists: dict[str, DataFrame]) -> DataFrame:
     return rows.groupBy("query_id", "id").agg(F.sum("rrf").alias("fused"), raw("vector"), raw("body"), F.max(F.col("list") == "vector").alias("in_vector"))
 
 
-def hybrid_top(queries: DataFrame, index, top: int = 5, language: str | None = None, source: str | None = None) -> DataFrame:
-    """The ``top`` records of each query (query_id, text, vector): record columns, score, rank.
+def hybrid_top(queries: DataFrame, index, top: int = 5, language: str | None = None, source: str | None = None, embedder=None) -> DataFrame:
+    """The ``top`` records of each query (query_id, text, and vector unless ``embedder`` makes
+    it): record columns, score, rank.
 
     ``index`` has records, body and path (postings and lengths) and vectors. The vector list is
     filtered before its top-k; body and path lists are cut to the pool unfiltered, and what does
@@ -49,10 +50,16 @@ def hybrid_top(queries: DataFrame, index, top: int = 5, language: str | None = N
     pool = pool_size(top)
     filtered = language is not None or source is not None
     allowed = matching(index.records, language, source) if filtered else None
-    # few queries are fetched once, terms and vectors together
-    asked = queries.select("query_id", "vector", F.array_distinct(token_array("text")).alias("terms")).limit(FEW_QUERIES + 1).collect()
+    # few queries are fetched once, tokens and vectors together
+    local = embedder is not None and hasattr(embedder, "of_tokens") and "vector" not in queries.columns
+    if "vector" not in queries.columns:
+        queries = queries.withColumn("vector", embedder.column(F.col("text")))
+    columns = ["query_id", token_array("text").alias("tokens"), *([] if local else ["vector"])]
+    asked = [r.asDict() for r in queries.select(*columns).limit(FEW_QUERIES + 1).collect()]
     if len(asked) <= FEW_QUERIES:
-        terms = QueryTerms(queries, known=[(r["query_id"], t) for r in asked for t in r["terms"]])
+        for r in asked if local else []:
+            r["vector"] = embedder.of_tokens(r["tokens"])
+        terms = QueryTerms(queries, known=[(r["query_id"], t) for r in asked for t in dict.fromkeys(r["tokens"])])
         nearest = cosine_top_of([r for r in asked if r["vector"] is not None], queries, index.vectors, pool, allowed)
     else:
         terms, nearest = QueryTerms(queries), cosine_top(queries, index.vectors, pool, allowed)

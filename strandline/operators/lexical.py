@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,7 +85,8 @@ class QueryTerms:
         rows = self.table.limit(FEW_TERMS + 1).collect() if known is None else known
         self.few = len(rows) <= FEW_TERMS
         if self.few:
-            self.table = F.broadcast(queries.sparkSession.createDataFrame([tuple(r) for r in rows], self.table.schema))
+            local = pa.table({"query_id": pa.array([r[0] for r in rows], pa.int64()), "term": pa.array([r[1] for r in rows], pa.string())})
+            self.table = F.broadcast(queries.sparkSession.createDataFrame(local))
             self.distinct = sorted({r[1] for r in rows})
 
     def postings(self, found: DataFrame) -> DataFrame:

@@ -19,7 +19,11 @@ QUERY_BYTES = 64 << 20  # query vectors that are sent to the workers at once
 
 
 class Embedder(Protocol):
-    """A text-to-vector plug-in; plug-ins compose by wrapping one another."""
+    """A text-to-vector plug-in; plug-ins compose by wrapping one another.
+
+    A plug-in that works on tokens may also have ``of_tokens``, which a search uses for the few
+    texts it holds on the driver.
+    """
 
     dimensions: int
 
@@ -37,28 +41,39 @@ class HashingEmbedder:
 
     def column(self, text: Column) -> Column:
         dimensions = self.dimensions
-        known: dict[str, tuple[int, float]] = {}  # of one worker, bounded
+        known = _Places(dimensions)
 
         @F.pandas_udf("array<float>")
         def embed(tokens: pd.Series) -> pd.Series:
-            def place(token: str) -> tuple[int, float]:
-                if token not in known:
-                    if len(known) > 500_000:
-                        known.clear()
-                    h = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
-                    known[token] = int(h[:4], 16) % dimensions, 1.0 if int(h[4:6], 16) % 2 == 0 else -1.0
-                return known[token]
-
-            def one(ts) -> np.ndarray:
-                places = [place(t) for t in ts]
-                v = np.bincount([p for p, _ in places], weights=[w for _, w in places], minlength=dimensions) if places else np.zeros(dimensions)
-                size = np.sqrt((v * v).sum())
-                return (v / size if size > 0 else v).astype(np.float32)
-
-            return tokens.map(one)
+            return tokens.map(lambda ts: _signed_sum(known, ts, dimensions))
 
         return embed(token_array(text))
 
+    def of_tokens(self, tokens: list[str]) -> np.ndarray:
+        return _signed_sum(_Places(self.dimensions), tokens, self.dimensions)
+
+
+class _Places(dict):
+    """Token -> 2 * bucket + sign; of one worker, and bounded."""
+
+    def __init__(self, dimensions: int):
+        super().__init__()
+        self.dimensions = dimensions
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
+        self[token] = place = int(h[:4], 16) % self.dimensions * 2 + int(h[4:6], 16) % 2
+        return place
+
+
+def _signed_sum(known: _Places, tokens, dimensions: int) -> np.ndarray:
+    both = np.bincount(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)), minlength=2 * dimensions).astype(float)
+    v = both[::2] - both[1::2]
+    size = np.sqrt((v * v).sum())
+    return (v / size if size > 0 else v).astype(np.float32)
+
 
 class StaticEmbedder:
     """Mean of token rows, normalised: a vocabulary file (a word per line) and a .npy matrix."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +17,11 @@ TOP, TOP_MOST = 5, 50
 SOURCES = ("file", "git")
 
 
-def query_rows(spark: SparkSession, texts: list[str], embedder: Embedder | None = None) -> DataFrame:
-    """A query table (query_id, text, vector) of some texts; blank ones are refused."""
+def query_rows(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """A query table (query_id, text) of some texts; blank ones are refused."""
     if any(not t or not t.strip() for t in texts):
         raise ValueError("a query must not be blank")
-    rows = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string").coalesce(1)
-    return rows.withColumn("vector", (embedder or HashingEmbedder()).column(F.col("text")))
+    return spark.createDataFrame(pa.table({"query_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}))
 
 
 class SearchService:
@@ -33,15 +33,13 @@ class SearchService:
 
     def search_many(self, queries: DataFrame, top: int = TOP, language: str | None = None, source: str | None = None) -> DataFrame:
         """``queries``: query_id, text, and vector if it is known."""
-        if "vector" not in queries.columns:
-            queries = queries.withColumn("vector", self.embedder.column(F.col("text")))
-        return hybrid_top(queries, self.index, top, language, source)
+        return hybrid_top(queries, self.index, top, language, source, self.embedder)
 
     def search(self, query: str, top: int = TOP, language: str | None = None, source: str | None = None) -> DataFrame:
         if source is not None and source not in SOURCES:
             raise ValueError(f"source must be one of {', '.join(SOURCES)}")
         # one query is one partition of the last window, which leaves it in the order of ranks
-        return self.search_many(query_rows(self.spark, [query], self.embedder), top, language, source)
+        return self.search_many(query_rows(self.spark, [query]), top, language, source)
 
     def respond(self, request: str) -> str:
         """One JSON line in, one out; a service's ``top`` is held between 1 and TOP_MOST."""

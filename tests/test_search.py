@@ -133,7 +133,7 @@ def test_save_load_add_remove(spark, index, tmp_path):
     store.save(index, 3)
     loaded = store.load()
     asked = query_rows(spark, ["similarity search basil"])
-    show = lambda i: [(r["location"], round(r["fused"], 6)) for r in fusion.hybrid_top(asked, i, 10).orderBy("rank").collect()]
+    show = lambda i: [(r["location"], round(r["fused"], 6)) for r in fusion.hybrid_top(asked, i, 10, embedder=vectors.HashingEmbedder()).orderBy("rank").collect()]
     assert show(loaded) == show(index)
     assert store.manifest()["shards"] == 3
     with pytest.raises(ReadOnlyError):
