@@ -54,11 +54,12 @@ def discard_all(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of an Arrow batch, so that a batch of long texts fits in a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
-        spark.conf.set(key, str(rows))
+def arrow_bytes(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bound the bytes of an Arrow batch, so that a batch of long texts fits in a Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
+    if now > most:
+        spark.conf.set(key, str(most))
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

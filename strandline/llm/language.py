@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, free_name, slices, utf8, with_struct
+from .common import arrow_bytes, free_name, slices, utf8, with_struct
 
 WIDTHS = (2, 3, 4)  # bytes that a filter sees
 FILTERS = 16  # filters of each width
@@ -157,7 +157,7 @@ def samples_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_l
     key = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30))
     rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.3 * per_language / r["count"]))])
     most = 2 * per_language * len(sizes)
-    chosen = rows.where(key < F.get(F.array(F.element_at(rate, F.col("lang"))), F.lit(0)) * (1 << 30)).where("text is not null and text <> ''")
+    chosen = rows.where(key < F.try_element_at(rate, F.col("lang")) * (1 << 30)).where("text is not null and text <> ''")
     places = F.array(*[F.pmod(F.xxhash64("id", F.lit(i + 10)), F.greatest(F.length("text") - LENGTH // 2, F.lit(1))) for i in range(WINDOWS_PER_DOC)])
     chosen = chosen.select("lang", key.alias("key"), F.transform(places, lambda p: F.substring(F.col("text"), (p + 1).cast("int"), F.lit(LENGTH))).alias("parts"))
     out, taken = [], {}
@@ -179,7 +179,7 @@ def with_language(docs: DataFrame, out: str, model: Model | None, text_col: str
     0, as is everything when there is no model.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 512)
+    arrow_bytes(spark)
     sent = spark.sparkContext.broadcast(model)  # about 150 kB and 200 bytes a language
     mark = uuid.uuid4().hex
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, slices, stage, utf8
+from .common import arrow_bytes, slices, stage, utf8
 from .winnowing import _WORDS_SQL, SLICE, gram_hashes, word_hashes, words_of
 
 BACKOFF = 0.4
@@ -145,7 +145,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     are ignored.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 512)
+    arrow_bytes(spark)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     blocks = stage(_blocks(source), "lm-blocks", "uncompressed")
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows
+from .common import arrow_bytes
 from .tokens import word_bpe
 
 TIERS = (256, 512, 1024, 2048)
@@ -99,7 +99,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     length are cut into windows; null ids pass through; no rows give no rows; other columns are
     ignored.
     """
-    arrow_rows(docs.sparkSession, 256)
+    arrow_bytes(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     schema = T.StructType([
         T.StructField("doc_id", source.schema[0].dataType), *(T.StructField(n, T.LongType()) for n in ("start", "length")), T.StructField("ids", T.BinaryType()),

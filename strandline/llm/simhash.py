@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_rows, free_name, stage, unsigned_hex, with_struct
+from .common import arrow_bytes, free_name, stage, unsigned_hex, with_struct
 from .components import min_labels
 
 SHINGLE = 4
@@ -22,6 +22,7 @@ DISTANCE = 4
 SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 SMALL_RUN = 64  # table rows of a bucket up to which all its verified pairs are given
 STEP = 4096  # rows of a block when a large bucket is searched
+HOT = 16_384  # rows of a bucket beyond which it is dealt out to several tasks
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -51,7 +52,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def with_fingerprint(docs: DataFrame, out: str, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """Add long column ``out``: the fingerprint as a signed 64-bit number. No shuffle."""
-    arrow_rows(docs.sparkSession, 512)
+    arrow_bytes(docs.sparkSession)
     name = free_name(docs, "simhash_struct")
 
     def made(columns):
@@ -108,14 +109,24 @@ def _run_links(values: np.ndarray, probing: np.ndarray, bounds: np.ndarray, dist
             yield x, y
 
 
+def _sliced(keyed: DataFrame, hot: DataFrame) -> DataFrame:
+    """Rows of hot buckets once for every pair of slices (i <= j) that theirs is in."""
+    rows = keyed.join(hot, ["k", "v"], "left").withColumn("s", F.coalesce("s", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda x: F.struct(F.least(own, x).alias("i"), F.greatest(own, x).alias("j")))
+    return rows.select("fp", "k", "v", "probe", F.explode(others).alias("p")).select("fp", "k", "v", "probe", "p.i", "p.j")
+
+
 def near_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Links (u, v) whose components are those of all pairs within ``distance`` bits.
 
     ``prints`` has one row per distinct fingerprint (column fp). Each fingerprint goes into the
     table of every segment, and probes the tables with the small Hamming ball of its segment. A
     one-bit flip is probed from the fingerprint that has the bit clear only, which finds each pair
-    once. Rows meet by (segment, value), an even key as the fingerprints are distinct; keys with
-    no table row or a single row are dropped before Python sees them.
+    once. Rows meet by (segment, value). Fingerprints are distinct, so copies make no bucket
+    large, but near copies can: a bucket of over HOT rows is cut by a hash in s slices, and every
+    two slices meet in a task of their own, so no pair is lost and no task gets over 2 HOT rows,
+    about.
     """
     fp = F.col("fp")
     rows = []
@@ -128,15 +139,18 @@ def near_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 rows.append(F.when(clear, F.struct(F.lit(k).alias("k"), value.bitwiseOR(F.lit(1 << b)).alias("v"), F.lit(True).alias("probe"))))
     keyed = prints.select("fp", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("fp", "r.k", "r.v", "r.probe")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = keyed.repartition(parts, "k", "v").sortWithinPartitions("k", "v", "probe")
+    hot = stage(keyed.groupBy("k", "v").count().where(F.col("count") > HOT).select("k", "v", F.ceil(F.col("count") / HOT).cast("int").alias("s")), "hot-buckets")
+    few = hot.limit(100_001).count()
+    keyed = keyed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0)) if few == 0 else _sliced(keyed, F.broadcast(hot) if few <= 100_000 else hot)
+    keyed = keyed.repartition(parts, "k", "v", "i", "j").sortWithinPartitions("k", "v", "i", "j", "probe")
 
     def links(frames):
         held = None
         for frame in frames:
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
             # a run may go on in the next batch, so the last one waits
-            k, v = frame["k"].to_numpy(), frame["v"].to_numpy()
-            edge = np.flatnonzero((k[1:] != k[:-1]) | (v[1:] != v[:-1])) + 1
+            keys = frame[["k", "v", "i", "j"]].to_numpy()
+            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             cut = int(edge[-1]) if len(edge) else 0
             held = frame.iloc[cut:]
             if cut:

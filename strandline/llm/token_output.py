@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_rows, shared_dir, stage
+from .common import arrow_bytes, shared_dir, stage
 from .tokens import word_bpe
 
 LENGTH = 2048  # ids of a sequence
@@ -127,7 +127,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_
     gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 256)
+    arrow_bytes(spark)
     known = dictionary(docs, tokenizer, text_col)
     staged = stage(sequences(docs, tokenizer, id_col, text_col, length, end_id, known), "sequences", "uncompressed")
     counts = staged.groupBy("part").count()

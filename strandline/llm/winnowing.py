@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_rows, free_name, slices, utf8, with_struct
+from .common import arrow_bytes, free_name, slices, utf8, with_struct
 
 SPAN = 13  # words of a window; every shared span of so many words is found
 GRAM = 5  # words of a fingerprint
@@ -225,7 +225,7 @@ def mark_contamination(docs: DataFrame, benchmark: DataFrame, out: str, text_col
     equal items, copies and repeated rows are judged each; all columns of ``docs`` stay.
     """
     spark = docs.sparkSession
-    arrow_rows(spark, 512)
+    arrow_bytes(spark)
     item_type = benchmark.schema[item_col].dataType
     fields = T.StructType([
         T.StructField("n_words", T.LongType(), False),

@@ -45,7 +45,9 @@ def groups(values, links):
 
 
 @pytest.mark.parametrize(("clusters", "size", "flips"), [(40, 6, 3), (1, 600, 2), (3, 150, 5)])
-def test_links_lose_no_component(spark, clusters, size, flips, monkeypatch):
+@pytest.mark.parametrize("hot", [16_384, 100])
+def test_links_lose_no_component(spark, clusters, size, flips, hot, monkeypatch):
+    monkeypatch.setattr(sh, "HOT", hot)
     rng = random.Random(size)
     values = set()
     for _ in range(clusters):
