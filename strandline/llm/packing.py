@@ -17,7 +17,7 @@ from .tokens import word_bpe
 
 TIERS = (256, 512, 1024, 2048)
 END_ID = 1
-BLOCK_TOKENS = 2_000_000  # documents are packed in blocks of about this many tokens
+BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 50_000  # a block is packed when it has so many tokens or documents
 STEP_TOKENS = 131_072  # tokens of a step group
 
 
@@ -110,7 +110,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         encoder, base = word_bpe(tokenizer), TaskContext.get().partitionId() << 32
         kept: dict[int, tuple] = {}  # row -> (id, ids), of documents with pieces that wait
         waiting: list[tuple[int, int, int]] = []
-        fresh, row, sequence, group, kind = 0, 0, 0, 0, None
+        fresh, row, since, sequence, group, kind = 0, 0, 0, 0, 0, None
 
         def flush(last):
             nonlocal waiting, fresh, sequence, group
@@ -142,8 +142,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 waiting.append((len(ids), row, 0))
                 fresh += len(ids)
                 row += 1
-                if fresh >= block_tokens:
+                if fresh >= block_tokens or row - since >= BLOCK_DOCS:
                     yield from flush(False)
+                    since = row
         if waiting:
             yield from flush(True)
 
