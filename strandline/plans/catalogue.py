@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,9 +147,15 @@ def _one(spark, text: str) -> DataFrame:
     return spark.createDataFrame([(0, text)], "query_id long, text string")
 
 
+def _kept(docs: DataFrame, text: str = "text") -> tuple[DataFrame, tuple[int, int]]:
+    """Postings of texts that have no stored index, kept as the search reads them twice, and the
+    statistics: the text is tokenized once. Executors put on disk what memory does not hold."""
+    found = lexical.build(docs, text)[0].persist(StorageLevel.MEMORY_AND_DISK)
+    return found, (docs.count(), found.agg(F.sum("tf")).first()[0] or 0)
+
+
 def _bm25(spark, sf_dir, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    found, dl = lexical.build(docs)
-    return lexical.bm25_top(lexical.QueryTerms(queries), found, lexical.stats_of(dl), k)
+    return lexical.bm25_top(lexical.QueryTerms(queries), *_kept(docs), k)
 
 
 @query(f"with {_DOCS}, asked as (select 0 query_id, '{TEXT_QUERY}' t), {sql.bm25('asked', 'docs', 'd', TOP)} select id doc_id, rank::int rank, round(score, 6) score from d_top")
@@ -224,10 +231,10 @@ def hash_embedding(spark, sf_dir):
 
 def _index(spark, sf_dir) -> Index:
     records = lexical.by_document(tables.document_records(_table(spark, sf_dir, "documents")))
-    body, body_dl = lexical.build(records.select("id", tx.body_text().alias("t")), "t")
-    path, path_dl = lexical.build(records.select("id", tx.path_text().alias("t")), "t")
+    body, body_stats = _kept(records.select("id", tx.body_text().alias("t")), "t")
+    path, path_stats = _kept(records.select("id", tx.path_text().alias("t")), "t")
     pool = _vectors(spark, sf_dir).join(records.select("id"), "id", "left_semi")
-    return Index({"records": records, "body_postings": body, "path_postings": path, "body_lengths": body_dl, "path_lengths": path_dl, "vectors": pool}, True)
+    return Index({"records": records, "body_postings": body, "path_postings": path, "vectors": pool}, True, stats={"body": body_stats, "path": path_stats})
 
 
 def _hybrid(spark, sf_dir, language=None, source=None) -> DataFrame:
@@ -269,8 +276,7 @@ def hybrid_batch_search(spark, sf_dir):
 lists as (select id, score, rank, 'vector' l from vec_top union all select id, score, rank, 'body' from body_top)
 select id, round(sum(1.0::double / (60 + rank)), 6) fused, round(coalesce(max(score) filter (where l = 'body'), 0), 6) body, round(coalesce(max(score) filter (where l = 'vector'), 0), 6) vector from lists group by id""")
 def rrf_fusion(spark, sf_dir):
-    found, dl = lexical.build(_docs(spark, sf_dir))
-    lists = {"vector": vectors.cosine_top(_one_vector(spark, sf_dir), _vectors(spark, sf_dir), 50), "body": lexical.bm25_top(lexical.QueryTerms(_one(spark, TEXT_QUERY)), found, lexical.stats_of(dl), 50)}
+    lists = {"vector": vectors.cosine_top(_one_vector(spark, sf_dir), _vectors(spark, sf_dir), 50), "body": _bm25(spark, sf_dir, _one(spark, TEXT_QUERY), _docs(spark, sf_dir), 50)}
     return fusion.fuse(lists).select("id", _shown("fused"), _shown("body"), _shown("vector"))
 
 

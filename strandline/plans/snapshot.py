@@ -27,9 +27,10 @@ class ReadOnlyError(RuntimeError):
 class Index:
     """Six tables: records, postings and lengths for body and path, vectors."""
 
-    def __init__(self, tables: dict[str, DataFrame], read_only: bool = False, shards: int | None = None):
-        """``shards``: the tables have a column shard, of so many, and are partitioned by it."""
-        self.tables, self.read_only, self.shards = tables, read_only, shards
+    def __init__(self, tables: dict[str, DataFrame], read_only: bool = False, shards: int | None = None, stats: dict[str, tuple[int, int]] | None = None):
+        """``shards``: the tables have a column shard, of so many, and are partitioned by it.
+        ``stats``: what `stats` would compute, if it is known."""
+        self.tables, self.read_only, self.shards, self._stats = tables, read_only, shards, dict(stats or {})
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -39,10 +40,9 @@ class Index:
 
     def stats(self, part: str) -> tuple[int, int]:
         """(documents, tokens) of body or path; computed once, as an index does not change."""
-        known = self.__dict__.setdefault("_stats", {})
-        if part not in known:
-            known[part] = lexical.stats_of(self.tables[f"{part}_lengths"])
-        return known[part]
+        if part not in self._stats:
+            self._stats[part] = lexical.stats_of(self.tables[f"{part}_lengths"])
+        return self._stats[part]
 
     def cache(self) -> Index:
         """Keep the tables in executor memory: the resident form for many queries."""
