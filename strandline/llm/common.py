@@ -54,7 +54,7 @@ def discard_all(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
-def arrow_bytes(spark: SparkSession, most: int = 4 << 20) -> None:
+def arrow_bytes(spark: SparkSession, most: int = 2 << 20) -> None:
     """Bound the bytes of an Arrow batch, so that a batch of long texts fits in a Python worker."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
