@@ -191,7 +191,7 @@ def with_language(docs: DataFrame, out: str, model: Model | None, text_col: str
         raw, offsets = utf8(columns[0])
         letters = [t is not None and any(c.isalpha() for c in t) for t in columns[0].to_pylist()]
         langs, scores = [], []
-        for a, b in slices(offsets, 1 << 20) if scorer else []:
+        for a, b in slices(offsets, 1 << 18) if scorer else []:
             part = offsets[a : b + 1] - offsets[a]
             w, text = windows(raw[offsets[a] : offsets[b]], part)
             p = scorer.probabilities(w)

@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-CACHE_WORDS, CACHE_PIECES = 700_000, 900_000  # entries of the caches, at most: about 220 MB in all
+CACHE_WORDS, CACHE_PIECES = 500_000, 800_000  # entries of the caches, at most: about 190 MB in all
 
 # the usual range: tab, line ends, printable ASCII and Latin-1 letters and signs; there, lower-casing
 # is one to one, NFC changes nothing, and the classes below equal \p{L} and \p{N}

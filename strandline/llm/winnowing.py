@@ -17,7 +17,7 @@ GRAM = 5  # words of a fingerprint
 WINDOW = SPAN - GRAM + 1  # fingerprints of a winnowing window
 SHARE = 20  # contaminated if at least one word in SHARE is hit
 BLOCK_BYTES = 64 << 20  # text of the benchmark that is broadcast at once
-SLICE = 1 << 20  # bytes hashed at once
+SLICE = 250_000  # bytes hashed at once
 
 # digits, letters after lower-casing, and all that is not ASCII
 _WORD = np.ones(256, bool)
