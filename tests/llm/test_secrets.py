@@ -76,6 +76,19 @@ def test_long_texts(spark):
     assert found(spark, [text]) == [brute(text)]
 
 
+def test_long_runs_of_separators(spark):
+    runs = ["-" * 100_000, "=" * 100_000, "_" * 100_000, "a/b/c/" * 50_000, "ab/" * 100_000]
+    texts = [f"{run} token=abcdefgh1" for run in runs]
+    assert found(spark, texts) == [[(len(run) + 1, 0, len(run) + 16)] for run in runs]
+
+
+def test_separator_patterns_agree():
+    rng = random.Random(3)
+    old, new = re.compile(r"^(?:[A-Za-z]*[/_=-])+[A-Za-z]*$"), re.compile(secrets.ALLOWED[1])
+    runs = ["".join(rng.choice("aZ/_=-") + rng.choice(["", "", "", "7"]) for _ in range(rng.randrange(12))) for _ in range(2000)]
+    assert [bool(old.search(r)) for r in runs] == [bool(new.search(r)) for r in runs]
+
+
 def test_redaction(spark, odd):
     df = spark.createDataFrame([(1, "a token=abcdefgh b"), (2, None), (3, 'token = "1beb58b8af68854f0e01b4ad40cdbb6ae7f578ae" é'), (4, "")], "doc_id long, text string").withColumn("secrets", F.lit("mine"))
     got = {r["doc_id"]: r for r in secrets.redact(df).collect()}
