@@ -9,7 +9,7 @@ from strandline.llm.common import stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter or a clear prediction go."""
+    """Documents with a language; those without a letter, or with unsure windows, go."""
     return language.keep_identified(docs)
 
 

@@ -172,11 +172,12 @@ _scorers: dict = {}
 
 
 def with_language(docs: DataFrame, out: str, model: Model | None, text_col: str = "text") -> DataFrame:
-    """Add struct column ``out`` (lang, score): the whole text's language, without a shuffle.
+    """Add struct column ``out`` (lang, score, sure): the whole text's language, without a shuffle.
 
     Every window of a text is scored; a text's probabilities are the mean of its windows',
-    weighted by their letter bytes. Null texts, and texts with no letter, are ``und`` with score
-    0, as is everything when there is no model.
+    weighted by their letter bytes. ``sure`` is the mean of each window's best probability, whatever
+    the window's language, so it is high for a clean text in several languages too. Null texts, and
+    texts with no letter, are ``und`` with score and sure 0, as is everything when there is no model.
     """
     spark = docs.sparkSession
     arrow_bytes(spark)
@@ -190,7 +191,7 @@ def with_language(docs: DataFrame, out: str, model: Model | None, text_col: str
         scorer = _scorers[mark]
         raw, offsets = utf8(columns[0])
         letters = [t is not None and any(c.isalpha() for c in t) for t in columns[0].to_pylist()]
-        langs, scores = [], []
+        langs, scores, sures = [], [], []
         for a, b in slices(offsets, 1 << 18) if scorer else []:
             part = offsets[a : b + 1] - offsets[a]
             w, text = windows(raw[offsets[a] : offsets[b]], part)
@@ -198,21 +199,24 @@ def with_language(docs: DataFrame, out: str, model: Model | None, text_col: str
             weight = _LETTERS[w[:, :LENGTH]].sum(axis=1) + 1e-3
             first = np.searchsorted(text, np.arange(b - a))
             mean = np.add.reduceat(p * weight[:, None], first, axis=0) / np.add.reduceat(weight, first)[:, None]
+            sure = np.add.reduceat(p.max(axis=1) * weight, first) / np.add.reduceat(weight, first)
             best = mean.argmax(axis=1)
             langs += [scorer.model.languages[k] for k in best]
             scores += mean[np.arange(b - a), best].tolist()
+            sures += sure.tolist()
         if not scorer:
-            langs, scores = [UNDETERMINED] * len(letters), [0.0] * len(letters)
+            langs, scores, sures = [UNDETERMINED] * len(letters), [0.0] * len(letters), [0.0] * len(letters)
         langs = [x if ok else UNDETERMINED for x, ok in zip(langs, letters, strict=True)]
         scores = [min(1.0, max(0.0, x)) if ok else 0.0 for x, ok in zip(scores, letters, strict=True)]
-        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+        sures = [min(1.0, max(0.0, x)) if ok else 0.0 for x, ok in zip(sures, letters, strict=True)]
+        return [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sures, pa.float64())]
 
-    fields = T.StructType([T.StructField("lang", T.StringType(), False), T.StructField("score", T.DoubleType(), False)])
+    fields = T.StructType([T.StructField("lang", T.StringType(), False), T.StructField("score", T.DoubleType(), False), T.StructField("sure", T.DoubleType(), False)])
     return with_struct(docs, out, fields, made, [text_col])
 
 
 def identify(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Train on the labelled rows of ``docs`` and add struct column ``out`` (lang, score).
+    """Train on the labelled rows of ``docs`` and add struct column ``out`` (lang, score, sure).
 
     Labels come from at most DOCS_PER_LANGUAGE rows a language whose id passes `learned_rows`;
     the label, id and source of a row are never inputs of its prediction. Defined cases: rows
@@ -223,10 +227,17 @@ def identify(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
 
 
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """Documents whose text has a language, predicted with a score of ``least`` or more."""
+    """Documents whose text has a language, with windows that are sure to ``least`` or more.
+
+    The windows of a text need not agree: a clean text in several languages stays. With no label
+    to learn from nothing can be judged, and all documents stay.
+    """
+    model = train(samples_of(docs, "doc_id", "text", "lang"))
+    if model is None:
+        return docs
     name = free_name(docs, "language")
-    found = identify(docs, name)
-    return found.where((F.col(f"{name}.lang") != UNDETERMINED) & (F.col(f"{name}.score") >= least)).drop(name)
+    found = with_language(docs, name, model)
+    return found.where((F.col(f"{name}.lang") != UNDETERMINED) & (F.col(f"{name}.sure") >= least)).drop(name)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -84,3 +84,23 @@ def test_stage_keeps_columns_and_lettered_texts(rows, odd):
     assert kept.columns == rows.columns
     assert kept.count() == rows.count()
     assert language.keep_identified(odd).where("text is null or text = '' or text like '...%'").count() == 0
+
+
+def test_stage_keeps_texts_in_several_languages(spark):
+    syllables = {**SYLLABLES, "dd": ["ова", "ни", "ст", "жи"], "ee": ["ões", "nh", "lh", "qua"]}
+    rng = random.Random(5)
+    text = lambda lang, n: " ".join("".join(rng.choice(syllables[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    labelled = [(i, text(lang, rng.randrange(3, 120)), lang) for i in range(600) for lang in [rng.choice(sorted(syllables))]]
+    share = lambda lang: text(lang, 900).encode()[:3840].decode(errors="ignore")
+    mixed = [(1000, " ".join(map(share, sorted(syllables))), None), (1001, " ".join(map(share, ("aa", "bb", "cc"))), None)]
+    rows = spark.createDataFrame(labelled + mixed, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r["f"] for r in language.identify(rows, "f").where("doc_id >= 1000").collect()}
+    assert all(f["score"] < 0.4 < f["sure"] for f in found.values())
+    assert {r["doc_id"] for r in language.keep_identified(rows).where("doc_id >= 1000").collect()} == {1000, 1001}
+
+
+def test_stage_rejects_nothing_without_a_model(odd):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = language.keep_identified(unlabelled)
+    assert kept.columns == unlabelled.columns
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, unlabelled.collect()))
