@@ -333,6 +333,22 @@ def language_id_nb(spark, sf_dir):
     return model.predict(docs.where("id % 2 = 1").select("id", "text")).withColumnRenamed("id", "doc_id")
 
 
+@query(f"""with train as (select doc_id id, text t, lang from documents where lang is not null), test as (select doc_id id, text t from documents),
+{sql.postings("train", "a")}, {sql.postings("test", "b")},
+c as (select lang, term, sum(tf) c from a_tf join train using (id) group by all),
+l as (select lang, ln(docs::double / sum(docs) over ()) prior, ln((tokens + (select count(distinct term) from c))::double) floor
+  from (select lang, count(*) docs from train group by lang) join (select lang, sum(c) tokens from c group by lang) using (lang)),
+k as (select id, lang, sum(tf * ln(c + 1.0::double)) s from b_tf join c using (term) group by all),
+s as (select d.id, l.lang, prior + coalesce(s, 0) - dl * floor score from b_dl d cross join l left join k on k.id = d.id and k.lang = l.lang where dl > 0),
+best as (select id, lang from (select *, row_number() over (partition by id order by round(score, 9) desc, lang) n from s) where n = 1)
+select test.id doc_id, coalesce(lang, 'und') as language from test left join best using (id)""")
+def language_id_nb_all(spark, sf_dir):
+    """A prediction for every document, learned from all labelled ones."""
+    docs = lexical.by_document(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language")))
+    model = language.NaiveBayes(docs.where("language is not null"))
+    return model.predict(docs.select("id", "text")).withColumnRenamed("id", "doc_id")
+
+
 # --- change feeds
 
 _FEED = """feed as (select user_id as path, event_id seq, case when event_type = 'error' then 'Delete' else 'Upsert' end kind, value, ts from events)"""

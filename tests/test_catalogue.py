@@ -34,3 +34,9 @@ def test_query_matches_its_sql(spark, db, name):
         cursor = db.execute(ORACLES[name])
         names = [d[0] for d in cursor.description]
         assert rows(df.columns, got) == rows(names, cursor.fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_every_document_gets_a_language(spark):
+    ids = [r["doc_id"] for r in QUERIES["language_id_nb_all"](spark, SF).collect()]
+    assert sorted(ids) == sorted(r["doc_id"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
