@@ -102,6 +102,26 @@ def test_redaction(spark, odd):
     assert sorted(map(repr, same.collect())) == sorted(map(repr, odd.collect()))
 
 
+def test_scrubbing_misses_few_random_keys(spark):
+    rng = random.Random(9)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [lower + digits, upper + digits, lower + upper + digits, lower + upper + digits + "+/", upper + "234567", digits + "abcdef"]
+    texts = ["".join(rng.choice(a) for _ in range(20)) for a in alphabets for _ in range(400)]
+    df = spark.createDataFrame([(i, f"a {t} b") for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = [r["doc_id"] // 400 for r in secrets.redact(df).where("text not like '%[SECRET]%'").collect()]
+    assert all(kept.count(k) <= 16 for k in range(len(alphabets)))
+
+
+def test_known_strings_do_not_spare_their_neighbours(spark):
+    key = "4f9Kq2LmZx81PvTn7RbYcW3d"
+    clean = ["wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "abcdefghijklmnopqrstuvwxyz0123456789", "some/path/of/words/that/is/long", "thisisaverylongwordwithoutanydigits", "release-notes-of-version-2024-11"]
+    df = spark.createDataFrame(list(enumerate([f"{key}/EXAMPLE", f"abcdefghijklmnopqrstuvwxyz/{key}", *clean])), "doc_id long, text string")
+    got = [r["text"] for r in secrets.redact(df).orderBy("doc_id").collect()]
+    assert key not in got[0] and "[SECRET]" in got[0]
+    assert key not in got[1] and "[SECRET]" in got[1]
+    assert got[2:] == clean
+
+
 def test_empty(none):
     assert secrets.find_secrets(none).collect() == []
 
