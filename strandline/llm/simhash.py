@@ -166,6 +166,16 @@ def near_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return keyed.mapInPandas(links, "u long, v long")
 
 
+def _components(prints: DataFrame, distance: int) -> DataFrame:
+    """One row per fingerprint of ``prints`` (doc_id, fp): fp, label of its component, smallest id."""
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    labels = min_labels(near_links(classes.select("fp"), distance))
+    # component of each linked fingerprint, then the smallest id of the component
+    named = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
+    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return named.join(least, "label").select("fp", "label", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fingerprint (long), component_id (smallest id reachable).
 
@@ -179,29 +189,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     prints = stage(with_fingerprint(source, "fp", "text", shingle).select("doc_id", "fp"), "simhash")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    labels = min_labels(near_links(classes.select("fp"), distance))
-    # component of each linked fingerprint, then the smallest id of the component
-    named = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "label").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    return prints.join(_components(prints, distance), "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """The documents with one of each near-duplicate group: the one with the smallest id.
+    """The documents with one of each near-duplicate group: the smallest (id, text).
 
-    Rows that share an id count as one document: the first by text stays. Rows with null ids are
-    kept. The columns and their order are those of ``docs``.
+    Rows that share an id are judged one by one, each by its own text, so no group loses all its
+    texts; equal rows (id and text) count as one. Rows with null ids are kept. The columns and
+    their order are those of ``docs``.
     """
-    found = near_duplicates(docs, id_col, text_col, distance)
-    gone = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias(free_name(docs, "gone_id"))).distinct()
-    gone_id = gone.columns[0]
-    kept = docs.join(gone, docs[id_col] == gone[gone_id], "left_anti")
-    rank = free_name(docs, "same_id_rank")
-    order = Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.col(f"`{text_col}`"))
-    known = kept.where(F.col(f"`{id_col}`").isNotNull()).withColumn(rank, F.row_number().over(order)).where(f"{rank} = 1").drop(rank)
-    return known.unionByName(kept.where(F.col(f"`{id_col}`").isNull()))
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    source = docs.select(ident.alias("doc_id"), text.alias("text"))
+    prints = stage(with_fingerprint(source, "fp").select("doc_id", "fp", F.xxhash64("text").alias("row")), "simhash")
+    found = prints.where("doc_id is not null").join(_components(prints, distance), "fp")
+    least = found.where("doc_id = component_id")
+    # an id with several texts in the component that it leads: all but the first by text go
+    shared = stage(least.groupBy("doc_id", "label").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("doc_id", "label"), "shared-ids")
+    texts = source.withColumn("row", F.xxhash64("text")).join(least.join(shared, ["doc_id", "label"]).select("doc_id", "label", "row").distinct(), ["doc_id", "row"])
+    first = texts.groupBy("doc_id", "label").agg(F.min_by("row", F.struct("text")).alias("first"))
+    later = texts.join(first, ["doc_id", "label"]).where("row <> first").select("doc_id", "row")
+    gone_id, gone_row = free_name(docs, "gone_id"), free_name(docs, "gone_row")
+    gone = found.where("doc_id <> component_id").select("doc_id", "row").unionByName(later).distinct().toDF(gone_id, gone_row)
+    kept = docs.join(gone, (ident == F.col(gone_id)) & (F.xxhash64(text) == F.col(gone_row)), "left_anti")
+    rank = free_name(docs, "same_row_rank")
+    order = Window.partitionBy(ident, F.xxhash64(text)).orderBy(text)
+    known = kept.where(ident.isNotNull()).withColumn(rank, F.row_number().over(order)).where(f"{rank} = 1").drop(rank)
+    return known.unionByName(kept.where(ident.isNull()))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:

@@ -119,6 +119,18 @@ def test_documents_against_brute_force(spark, odd_rows):
     assert ids.count(None) == 1
 
 
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(600)) for _ in range(4))
+    near = lambda t: t.rsplit(" ", 1)[0] + " edited"
+    assert all(0 < (plain(t) ^ plain(near(t))).bit_count() <= 4 or plain(t) == plain(near(t)) for t in (a, c, d))
+    rows = [(3, a), (3, c), (5, near(a)), (5, b), (7, near(c)), (9, d), (9, near(d)), (9, d), (None, d)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {tuple(r) for r in sh.keep_first(df).collect()}
+    assert kept == {(3, a), (3, c), (5, b), (9, min(d, near(d))), (None, d)}
+    assert sh.keep_first(df).count() == len(kept)
+
+
 def test_empty(none):
     assert sh.near_duplicates(none).collect() == []
     assert sh.keep_first(none).collect() == []
