@@ -87,6 +87,21 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of marked bytes that end with their text: starts, ends, first run of each text (n + 1)."""
+    edge = np.zeros(len(mask) + 1, bool)
+    edge[:-1] = mask
+    edge[1:-1] &= ~mask[:-1]
+    inner = offsets[(offsets > 0) & (offsets < len(mask))]
+    edge[inner] |= mask[inner]  # a run does not go on into the next text
+    starts = np.flatnonzero(edge)
+    stop = np.zeros(len(mask) + 1, bool)
+    stop[1:] = mask
+    stop[1:-1] &= ~mask[1:]
+    stop[inner] |= mask[inner - 1]
+    return starts, np.flatnonzero(stop), np.searchsorted(starts, offsets)
+
+
 def slices(offsets: np.ndarray, most: int) -> list[tuple[int, int]]:
     """Cut rows into runs of about ``most`` bytes: (first row, row after the last)."""
     out, first, n = [], 0, len(offsets) - 1

@@ -136,8 +136,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
         for batch in batches:
             kind = batch.column(0).type
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.append(encoder.encode(text or ""), np.uint32(end_id)).astype(np.uint32)
+            flat, bounds = encoder.encode_all(batch.column(1))
+            for name, a, b in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                ids = np.append(flat[a:b].astype(np.uint32), np.uint32(end_id))
                 kept[row] = (name, ids)
                 waiting.append((len(ids), row, 0))
                 fresh += len(ids)

@@ -65,9 +65,28 @@ def dictionary(docs: DataFrame, tokenizer: str, text_col: str) -> bytes:
     return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes() if len(parts) >= 256 else b""
 
 
+def _cut(names: pa.Array, begins: np.ndarray, length: int, records: int, used: int) -> pa.Array:
+    """Lists of the pieces (doc_id, start, length) in each of the first ``records`` records.
+
+    Document d lies at begins[d] in the stream, or before 0 for what an earlier record holds;
+    the stream has ``used`` ids.
+    """
+    marks = np.unique(np.concatenate([np.maximum(begins, 0), np.arange(records) * length, [used]]))
+    marks = marks[marks <= used]
+    at, n = marks[:-1], np.diff(marks)
+    doc = np.searchsorted(begins, at, side="right") - 1
+    inner = [names.take(pa.array(doc)), pa.array(at - begins[doc]), pa.array(n)]
+    fields = [pa.field("doc_id", names.type), pa.field("start", pa.int64()), pa.field("length", pa.int64())]
+    return pa.ListArray.from_arrays(np.searchsorted(at, np.arange(records + 1) * length).astype(np.int32), pa.StructArray.from_arrays(inner, fields=fields))
+
+
 def sequences(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, length: int, end_id: int, known: bytes) -> DataFrame:
     """Token ids of each partition's documents end to end, cut every ``length`` ids; the last is
-    padded with the end id. Columns: part, nth, n_tokens, record (compressed), pieces."""
+    padded with the end id. Columns: part, nth, n_tokens, record (compressed), pieces.
+
+    Which documents share a sequence follows from the partitions and the order of ``docs``: another
+    layout of the same rows gives other sequences, each whole and each id in one of them.
+    """
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     piece = T.StructType([T.StructField("doc_id", source.schema[0].dataType), T.StructField("start", T.LongType()), T.StructField("length", T.LongType())])
     schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("nth", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("record", T.BinaryType()), T.StructField("pieces", T.ArrayType(piece))])
@@ -75,37 +94,33 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, lengt
     def run(batches):
         encoder, part = word_bpe(tokenizer), TaskContext.get().partitionId()
         squeeze = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(known) if known else None).compress
-        buffer, pieces, used, nth, rows, kind = [], [], 0, 0, [], None
-        end = np.array([end_id], encoder.dtype)
-
-        def record():
-            pad = np.full(length - used, end_id, encoder.dtype)
-            return (part, nth, used, squeeze(np.concatenate([*buffer, pad]).tobytes()), pieces)
+        stream, names, begins, sizes, nth = np.zeros(0, encoder.dtype), None, np.zeros(0, np.int64), np.zeros(0, np.int64), 0
 
-        def batch_of(rows):
-            columns = list(zip(*rows, strict=True))
-            inner = pa.list_(pa.struct([pa.field("doc_id", kind), pa.field("start", pa.int64()), pa.field("length", pa.int64())]))
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.binary()), pa.array([[{"doc_id": d, "start": s, "length": n} for d, s, n in p] for p in columns[4]], inner)], names=schema.names)
+        def rows(records, last):
+            used = [length] * (records - 1) + [last]
+            data = [squeeze(stream[i * length : (i + 1) * length].tobytes()) for i in range(records)]
+            columns = [pa.array([part] * records, pa.int64()), pa.array(range(nth, nth + records), pa.int64()), pa.array(used, pa.int64()), pa.array(data, pa.binary()), _cut(names, begins, length, records, (records - 1) * length + last)]
+            return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         for batch in batches:
-            kind = batch.column(0).type
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, at = np.concatenate([encoder.encode(text or ""), end]), 0
-                while at < len(ids):
-                    take = min(length - used, len(ids) - at)
-                    buffer.append(ids[at : at + take])
-                    pieces.append((name, at, take))
-                    used, at = used + take, at + take
-                    if used == length:
-                        rows.append(record())
-                        buffer, pieces, used, nth = [], [], 0, nth + 1
-                if len(rows) >= 512:
-                    yield batch_of(rows)
-                    rows = []
-        if used:
-            rows.append(record())
-        if rows:
-            yield batch_of(rows)
+            ids, bounds = encoder.encode_all(batch.column(1))
+            n = len(bounds) - 1
+            with_ends = np.full(len(ids) + n, end_id, encoder.dtype)
+            with_ends[np.arange(len(ids)) + np.repeat(np.arange(n), np.diff(bounds))] = ids
+            names = batch.column(0) if names is None else pa.concat_arrays([names, batch.column(0)])
+            begins = np.concatenate([begins, len(stream) + bounds[:-1] + np.arange(n)])
+            sizes = np.concatenate([sizes, np.diff(bounds) + 1])
+            stream = np.concatenate([stream, with_ends])
+            records = len(stream) // length
+            if records:
+                yield rows(records, length)
+                stream, begins, nth = stream[records * length :], begins - records * length, nth + records
+                done = int(np.searchsorted(begins + sizes, 0, side="right"))
+                names, begins, sizes = names.slice(done), begins[done:], sizes[done:]
+        if len(stream):
+            last = len(stream)
+            stream = np.concatenate([stream, np.full(length - last, end_id, encoder.dtype)])
+            yield rows(1, last)
 
     return source.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_bytes, free_name, slices, utf8, with_struct
+from .common import arrow_bytes, free_name, runs, slices, utf8, with_struct
 
 SPAN = 13  # words of a window; every shared span of so many words is found
 GRAM = 5  # words of a fingerprint
@@ -54,19 +54,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 def words_of(raw: np.ndarray, offsets: np.ndarray):
     """Words of texts laid end to end: lower-cased bytes, starts, ends, first word of each text."""
     low = _LOWER[raw]
-    mask = _WORD[low]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[:-1] = mask
-    edge[1:-1] &= ~mask[:-1]
-    inner = offsets[(offsets > 0) & (offsets < len(raw))]
-    edge[inner] |= mask[inner]  # a word does not go on into the next text
-    starts = np.flatnonzero(edge)
-    stop = np.zeros(len(raw) + 1, bool)
-    stop[1:] = mask
-    stop[1:-1] &= ~mask[1:]
-    stop[inner] |= mask[inner - 1]
-    ends = np.flatnonzero(stop)
-    return low, starts, ends, np.searchsorted(starts, offsets)
+    return low, *runs(_WORD[low], offsets)
 
 
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -28,6 +28,50 @@ def test_ids_equal_the_tokenizer(whole):
         assert ours.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_every_id_encodes_to_itself():
+    """What makes the two merge engines agree: merging an id's own letters gives that id alone."""
+    import json
+
+    model = json.load(open(PATH))["model"]
+    ranks = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+    for token in model["vocab"]:
+        if token.startswith("<|"):
+            continue
+        whole = token.removesuffix("</w>")
+        parts = list(whole[:-1]) + [whole[-1] + token[len(whole) :]]
+        while len(parts) > 1:
+            rank, at = min((ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+            assert rank < 1 << 30, token
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        assert parts == [token]
+
+
+def test_words_of_one_hash_and_full_tables(whole, monkeypatch):
+    import pyarrow as pa
+
+    from strandline.llm import tokens
+
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcé1.") for _ in range(rng.randrange(1, 9))) for _ in range(300)) for _ in range(8)]
+    expected = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+    def check():
+        ours = WordBpe(PATH)
+        for _ in range(2):
+            ids, bounds = ours.encode_all(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == expected
+
+    check()
+    hashes = tokens.word_hashes
+    monkeypatch.setattr(tokens, "word_hashes", lambda low, starts, ends: hashes(low, starts, ends) % np.uint64(50))
+    check()
+    monkeypatch.setattr(tokens, "word_hashes", hashes)
+    monkeypatch.setattr(tokens, "TABLE_WORDS", 400)
+    monkeypatch.setattr(tokens, "CHUNK", 128)
+    monkeypatch.setattr(tokens, "SLICE", 500)
+    check()
+
+
 def test_fill_covers_every_id_once():
     rng = random.Random(3)
     for _ in range(60):

@@ -57,6 +57,28 @@ def test_round_trip(spark, odd, odd_rows, tmp_path):
     assert (to.read_slots(again, 0, 10**9) == data).all()
 
 
+def test_slots_and_records_against_brute_force(spark, tmp_path):
+    """One partition in a known order: each sequence's slot and bytes, computed plainly."""
+    rng = np.random.default_rng(3)
+    docs = [(i, " ".join(f"w{x}" for x in rng.integers(0, 500, rng.integers(0, 90)))) for i in range(120)]
+    path = f"file://{tmp_path}/shards"
+    rows = to.write_shards(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), path, PATH, length=64, shard_bytes=1 << 12).collect()
+    whole = Tokenizer.from_file(PATH)
+    stream, owner = [], []
+    for i, t in docs:
+        ids = [*whole.encode(t, add_special_tokens=False).ids, 1]
+        stream += ids
+        owner += [(i, k) for k in range(len(ids))]
+    n = -(-len(stream) // 64)
+    slots = to.permute(np.arange(n), n)
+    data, by_slot = to.read_slots(path, 0, n), {r["slot"]: r for r in rows}
+    assert len(by_slot) == n
+    for k in range(n):
+        part, r = stream[k * 64 : k * 64 + 64], by_slot[slots[k]]
+        assert data[slots[k]].tolist() == part + [1] * (64 - len(part)) and r["n_tokens"] == len(part)
+        assert [x for d, s, m in zip(r["doc_ids"], r["starts"], r["lengths"], strict=True) for x in ((d, s + j) for j in range(m))] == owner[k * 64 : k * 64 + 64]
+
+
 def test_empty(none, tmp_path):
     assert to.write_shards(none, f"file://{tmp_path}/s", PATH).collect() == []
     assert json.loads((tmp_path / "s" / "manifest.json").read_text())["shards"] == 0
