@@ -15,11 +15,13 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset (local tests) is a
-    temporary folder made and set.
+    ``spark.checkpoint.dir`` names it on a cluster. Where that is unset, a local session gets a
+    temporary folder, and a cluster an error: its executors would write to disks of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strandline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -62,6 +64,21 @@ def arrow_bytes(spark: SparkSession, most: int = 2 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
+def join_spread(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
+    """Inner join on ``key`` of many rows with a table of one row a key, whatever keys are frequent.
+
+    ``counts`` (key, n) says how often a key is among the ``total`` rows of ``many``. Keys with over
+    a thousandth of the rows, fewer than a thousand, are broadcast and meet their rows where those
+    are; so no shuffle partition gets more than a thousandth of the rows from one key.
+    """
+    hot = free_name(many, "is_hot_key")
+    frequent = stage(counts.where(F.col("n") * 1000 > total).select(key, F.lit(True).alias(hot)), "hot-keys")
+    marked = many.join(F.broadcast(frequent), key, "left")
+    few = one.join(F.broadcast(frequent.select(key)), key, "left_semi")
+    here = marked.where(F.col(hot)).drop(hot).join(F.broadcast(few), key)
+    return here.unionByName(marked.where(F.col(hot).isNull()).drop(hot).join(one, key))
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, with underscores appended while the frame has such a column in any case."""
     taken = {c.lower() for c in df.columns}

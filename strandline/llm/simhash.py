@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,17 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_bytes, free_name, stage, unsigned_hex, with_struct
+from .common import arrow_bytes, free_name, join_spread, stage, unsigned_hex, with_struct
 from .components import min_labels
 
 SHINGLE = 4
 SEED = 42
 DISTANCE = 4
-# (first bit, bits, radius): a pair within 4 bits has a segment within its radius, because
-# sum(radius + 1) exceeds 4
-SEGMENTS = ((0, 21, 1), (21, 21, 1), (42, 22, 0))
 SMALL_RUN = 64  # table rows of a bucket up to which all its verified pairs are given
 STEP = 4096  # rows of a block when a large bucket is searched
+ROWS_PER_PART = 500_000  # fingerprints of a shuffle partition
 HOT = 16_384  # rows of a bucket beyond which it is dealt out to several tasks
 
 
@@ -51,7 +51,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def with_fingerprint(docs: DataFrame, out: str, text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Add long column ``out``: the fingerprint as a signed 64-bit number. No shuffle."""
+    """Add long column ``out``: the fingerprint as a signed 64-bit number. No shuffle.
+
+    Defined cases: null, empty and wordless texts give 0; texts shorter than a shingle are one
+    shingle; very long texts are read whole; repeated rows give the same; an empty table gives no
+    rows; all columns of ``docs`` stay, whatever their names.
+    """
     arrow_bytes(docs.sparkSession)
     name = free_name(docs, "simhash_struct")
 
@@ -63,6 +68,27 @@ def with_fingerprint(docs: DataFrame, out: str, text_col: str = "text", shingle:
     return added.withColumn(out, F.col(f"{name}.fp")).drop(name)
 
 
+def segments(rows: int, distance: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, radius) of each segment: a pair within ``distance`` bits has a segment
+    within its radius, because the sum of (radius + 1) exceeds ``distance``.
+
+    Three segments, or two where ``rows`` fingerprints would fill the buckets of three with over
+    SMALL_RUN each: from 134 million rows on.
+    """
+    parts = 3 if rows <= SMALL_RUN << (64 // 3) else 2
+    out, at = [], 0
+    for k in range(parts):
+        bits = (64 - at) // (parts - k)
+        out.append((at, bits, (distance + 1 + parts - 1 - k) // parts - 1))
+        at += bits
+    return out
+
+
+def _masks(bits: int, radius: int) -> list[int]:
+    """The Hamming ball: every way to flip 1 to ``radius`` of ``bits`` bits."""
+    return [sum(1 << b for b in flips) for n in range(1, radius + 1) for flips in combinations(range(bits), n)]
+
+
 def _run_links(values: np.ndarray, probing: np.ndarray, bounds: np.ndarray, distance: int):
     """Verified links of sorted runs; bounds: first row of each run and the end.
 
@@ -122,7 +148,7 @@ def near_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     ``prints`` has one row per distinct fingerprint (column fp). Each fingerprint goes into the
     table of every segment, and probes the tables with the small Hamming ball of its segment. A
-    one-bit flip is probed from the fingerprint that has the bit clear only, which finds each pair
+    flip is probed from the fingerprint that has its highest bit clear only, which finds each pair
     once. Rows meet by (segment, value). Fingerprints are distinct, so copies make no bucket
     large, but near copies can: a bucket of over HOT rows is cut by a hash in s slices, and every
     two slices meet in a task of their own, so no pair is lost and no task gets over 2 HOT rows,
@@ -130,15 +156,18 @@ def near_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """
     fp = F.col("fp")
     rows = []
-    for k, (at, bits, radius) in enumerate(SEGMENTS):
-        value = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1))
-        rows.append(F.struct(F.lit(k).alias("k"), value.alias("v"), F.lit(False).alias("probe")))
-        if radius:
-            for b in range(bits):
-                clear = value.bitwiseAND(F.lit(1 << b)) == 0
-                rows.append(F.when(clear, F.struct(F.lit(k).alias("k"), value.bitwiseOR(F.lit(1 << b)).alias("v"), F.lit(True).alias("probe"))))
-    keyed = prints.select("fp", F.explode(F.filter(F.array(*rows), lambda r: r.isNotNull())).alias("r")).select("fp", "r.k", "r.v", "r.probe")
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = prints.count()
+    parts = max(parts, -(-total // ROWS_PER_PART))
+    for k, (at, bits, radius) in enumerate(segments(total, distance)):
+        value = F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << bits) - 1))
+        rows.append(F.array(F.struct(F.lit(k).alias("k"), value.alias("v"), F.lit(False).alias("probe"))))
+        if radius > 0:
+            flips = F.array(*[F.struct(F.lit(m).cast("long").alias("m"), F.lit(1 << (m.bit_length() - 1)).cast("long").alias("top")) for m in _masks(bits, radius)])
+            clear = F.filter(flips, lambda x: value.bitwiseAND(x["top"]) == 0)  # noqa: B023
+            rows.append(F.transform(clear, lambda x: F.struct(F.lit(k).alias("k"), value.bitwiseXOR(x["m"]).alias("v"), F.lit(True).alias("probe"))))  # noqa: B023
+    # dealt out by count, as the rows are narrow and each becomes many
+    keyed = prints.repartition(parts, "fp").select("fp", F.explode(F.concat(*rows)).alias("r")).select("fp", "r.k", "r.v", "r.probe")
     hot = stage(keyed.groupBy("k", "v").count().where(F.col("count") > HOT).select("k", "v", F.ceil(F.col("count") / HOT).cast("int").alias("s")), "hot-buckets")
     few = hot.limit(100_001).count()
     keyed = keyed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0)) if few == 0 else _sliced(keyed, F.broadcast(hot) if few <= 100_000 else hot)
@@ -167,13 +196,26 @@ def near_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
 
 def _components(prints: DataFrame, distance: int) -> DataFrame:
-    """One row per fingerprint of ``prints`` (doc_id, fp): fp, label of its component, smallest id."""
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    """One row per fingerprint of ``prints`` (doc_id, fp): fp, label, smallest id, copies (n).
+
+    A component's members are spread over all tasks when they fetch its smallest id.
+    """
+    classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "classes")
     labels = min_labels(near_links(classes.select("fp"), distance))
-    # component of each linked fingerprint, then the smallest id of the component
-    named = classes.join(labels, classes.fp == labels.node, "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    return named.join(least, "label").select("fp", "label", "component_id")
+    named = stage(classes.join(labels, classes.fp == labels.node, "left").select("fp", "n", "first_id", "label"), "labels")
+    alone = named.where("label is null").select("fp", F.col("fp").alias("label"), F.col("first_id").alias("component_id"), "n")
+    linked = named.where("label is not null")
+    least = linked.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    sizes = least.select("label", F.col("members").alias("n"))
+    members = join_spread(linked.select("fp", "n", "label"), least.drop("members"), "label", sizes, linked.count())
+    return alone.unionByName(members)
+
+
+def _with_components(prints: DataFrame, distance: int) -> DataFrame:
+    """``prints`` (doc_id, fp and more) with label and component_id; copies may be very many."""
+    found = stage(_components(prints, distance), "components")
+    total = found.agg(F.sum("n")).first()[0] or 0
+    return join_spread(prints, found.drop("n"), "fp", found.select("fp", "n"), total)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
@@ -189,7 +231,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     prints = stage(with_fingerprint(source, "fp", "text", shingle).select("doc_id", "fp"), "simhash")
-    return prints.join(_components(prints, distance), "fp").select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
+    return _with_components(prints, distance).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
@@ -202,7 +244,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     source = docs.select(ident.alias("doc_id"), text.alias("text"))
     prints = stage(with_fingerprint(source, "fp").select("doc_id", "fp", F.xxhash64("text").alias("row")), "simhash")
-    found = prints.where("doc_id is not null").join(_components(prints, distance), "fp")
+    found = _with_components(prints.where("doc_id is not null"), distance)
     least = found.where("doc_id = component_id")
     # an id with several texts in the component that it leads: all but the first by text go
     shared = stage(least.groupBy("doc_id", "label").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("doc_id", "label"), "shared-ids")

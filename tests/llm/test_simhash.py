@@ -69,8 +69,25 @@ def test_links_lose_no_component(spark, clusters, size, flips, hot, monkeypatch)
 
 
 def test_segments_cover_four_bits():
-    assert sum(r + 1 for _, _, r in sh.SEGMENTS) > sh.DISTANCE
-    assert sorted(b for at, n, _ in sh.SEGMENTS for b in range(at, at + n)) == list(range(64))
+    for rows, parts in ((0, 3), (10**8, 3), (10**9, 2), (10**11, 2)):
+        for distance in (2, 4, 6):
+            made = sh.segments(rows, distance)
+            assert len(made) == parts and sum(r + 1 for _, _, r in made) > distance
+            assert sorted(b for at, n, _ in made for b in range(at, at + n)) == list(range(64))
+            # a bucket has few fingerprints by chance alone
+            assert rows / 2 ** min(n for _, n, _ in made) <= 64
+
+
+def test_two_segments_find_the_same_components(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    values = sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randrange(0, 6))) for b in base for _ in range(4)})
+    x = np.array(values, np.uint64)
+    a, b = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 4)
+    signed = x.view(np.int64).tolist()
+    monkeypatch.setattr(sh, "segments", lambda rows, distance: [(0, 32, 2), (32, 32, 1)])
+    links = [(r["u"], r["v"]) for r in sh.near_links(spark.createDataFrame([(v,) for v in signed], "fp long")).collect()]
+    assert groups(signed, links) == groups(signed, [(signed[i], signed[j]) for i, j in zip(a, b, strict=True)])
 
 
 def test_components(spark):
