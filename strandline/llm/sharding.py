@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from .common import stage
 
+ROWS_PER_PART = 2_000_000  # rows of a range partition; they are about 40 bytes each
+
 
 def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Place every row in one of ``shards`` contiguous shards of nearly equal bytes.
@@ -16,8 +18,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
     still splits a huge group of copies, as the id is part of the range. The narrow rows (id,
     size, hash) are staged with their partition number; per-partition totals give each
     partition's first byte; a running sum inside the partition gives each row's first byte, and
-    that over ``total / shards`` is its shard. A group of equal texts no larger than the largest
-    single text takes the shard of its first byte, so a cut moves by less than one document.
+    that over ``total / shards`` is its shard. A group of equal texts takes the shard of its
+    first byte, also where it lies across partitions, unless it is larger than both the largest
+    single text and a hundredth of a shard: such a group is cut at the targets, so that sizes
+    stay near equal. So a cut moves by less than one document or a hundredth of a shard.
 
     Returns doc_id, size (UTF-8 bytes + 1), text_crc32, shard, slot (position in the shard, from
     0), global_slot, start_byte. Defined cases: a null text has no bytes (size 1, crc 0); null ids
@@ -31,13 +35,13 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("h"),
     )
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // ROWS_PER_PART))
     rows = stage(rows.repartitionByRange(parts, "h", "doc_id").withColumn("pid", F.spark_partition_id()), "shard-rows")
 
     everything = Window.partitionBy()
     before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per range partition, so these windows and the broadcast are bounded by `parts`
-    totals = rows.groupBy("pid").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.max("size").alias("most"))
+    totals = rows.groupBy("pid").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.max("size").alias("most"), F.min("h").alias("low"), F.max("h").alias("high"))
     starts = totals.select(
         "pid",
         F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("first_byte"),
@@ -53,7 +57,16 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", te
             "global_slot": F.col("first_row") + F.row_number().over(run) - 1,
         }
     )
-    anchor = F.when(F.sum("size").over(group) <= F.col("largest"), F.min("start_byte").over(group)).otherwise(F.col("start_byte"))
+    # groups across an edge: at most one for each two neighbours, so these tables are bounded too
+    ends = totals.select("pid", F.explode(F.array_distinct(F.array("low", "high"))).alias("h"))
+    across = ends.groupBy("h").count().where("count > 1").select("h")
+    shares = rows.join(F.broadcast(across), "h").groupBy("h", "pid").agg(F.sum("size").alias("share"))
+    shares = shares.join(F.broadcast(starts), "pid").join(F.broadcast(totals.select("pid", "bytes")), "pid")
+    # the first partition of such a group ends with it
+    edges = shares.groupBy("h").agg(F.sum("share").alias("edge_bytes"), F.min_by(F.col("first_byte") + F.col("bytes") - F.col("share"), "pid").alias("edge_start"))
+    placed = placed.join(F.broadcast(edges), "h", "left")
+    whole = F.coalesce("edge_bytes", F.sum("size").over(group)) <= F.greatest(F.col("largest"), F.expr(f"total div {100 * shards}L"))
+    anchor = F.when(whole, F.coalesce("edge_start", F.min("start_byte").over(group))).otherwise(F.col("start_byte"))
     placed = placed.withColumn("anchor", anchor).withColumn("shard", F.expr(f"int((anchor * {shards}L) div total)"))
     # at most parts + shards rows; the first global position of each shard
     firsts = placed.groupBy("pid", "shard").agg(F.min("global_slot").alias("first")).groupBy("shard").agg(F.min("first").alias("first"))

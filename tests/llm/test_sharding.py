@@ -37,8 +37,39 @@ def test_small_groups_stay_together(spark):
     where = defaultdict(set)
     for r in shard_by_bytes(spark.createDataFrame(docs, "doc_id long, text string"), 8).collect():
         where[r["text_crc32"]].add(r["shard"])
-    # a group can still be cut where it lies across two range partitions
-    assert sum(len(s) > 1 for s in where.values()) <= 1
+    assert all(len(s) == 1 for s in where.values())
+
+
+def placement(docs, shards):
+    """The law, plainly: texts in the order of their hashes, groups whole where they fit."""
+    total, largest = sum(size for _, size, _ in docs), max(size for _, size, _ in docs)
+    at, out = 0, {}
+    groups = defaultdict(list)
+    for d in docs:
+        groups[d[2]].append(d)
+    for h in sorted(groups):
+        size, start = sum(d[1] for d in groups[h]), at
+        for i, n, _ in sorted(groups[h]):
+            out[i] = (start if size <= max(largest, total // (100 * shards)) else at) * shards // total
+            at += n
+    return out
+
+
+def test_placement_against_brute_force(spark):
+    rng = random.Random(5)
+    docs = [(i, "z" * rng.randrange(0, 400)) for i in range(900)] + [(1000 + i, "copy " * 9) for i in range(800)] + [(3000 + i, f"few {i % 7}" * 5) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    hashed = [(r["doc_id"], len(r["text"]) + 1, r["h"]) for r in df.withColumn("h", F.xxhash64("text")).collect()]
+    for shards in (1, 5, 16):
+        assert {r["doc_id"]: r["shard"] for r in shard_by_bytes(df, shards).collect()} == placement(hashed, shards)
+
+
+def test_a_group_over_many_partitions(spark):
+    """Eight copies of a long text and little else: range partitions cut the group, shards do not."""
+    docs = [(i, "copy " * 100) for i in range(8)] + [(100 + i, f"t{i}" * 700) for i in range(6)]
+    rows = shard_by_bytes(spark.createDataFrame(docs, "doc_id long, text string"), 3).collect()
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    assert {r["doc_id"]: r["shard"] for r in rows} == placement([(r["doc_id"], len(r["text"]) + 1, r["h"]) for r in df.collect()], 3)
 
 
 def test_odd(odd, odd_rows):
