@@ -18,8 +18,9 @@ FILTERS = 16  # filters of each width
 LENGTH = 128  # bytes of a window
 DOCS_PER_LANGUAGE = 500  # labelled documents that training reads, at most
 WINDOWS_PER_DOC = 4
-LANGUAGES = 256  # the most frequent labels that are learned, at most
-STEPS, BATCH, RATE = 700, 64, 0.15
+MOST_LABELS = 10_000  # more distinct labels than this are no languages: an error
+STEPS, BATCH, RATE = 700, 64, 0.15  # STEPS for each LABELS_PER_STEPS languages
+LABELS_PER_STEPS = 16
 UNDETERMINED = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -87,7 +88,7 @@ class Scorer:
         return np.concatenate(parts)
 
 
-def train(samples: list[tuple[str, bytes]], seed: int = 11, steps: int = STEPS) -> Model | None:
+def train(samples: list[tuple[str, bytes]], seed: int = 11) -> Model | None:
     """Fit the network to (language, bytes) samples by Adagrad; None without samples."""
     samples = [s for s in samples if s[1]]
     languages = sorted({s[0] for s in samples})
@@ -110,7 +111,7 @@ def train(samples: list[tuple[str, bytes]], seed: int = 11, steps: int = STEPS)
         total += g * g
         p -= RATE * g / np.sqrt(total)
 
-    for _ in range(steps):
+    for _ in range(STEPS * -(-len(languages) // LABELS_PER_STEPS)):
         pick = np.concatenate([rng.choice(by[k], max(1, BATCH // len(by))) for k in rng.permutation(len(by))[:BATCH]])
         x, y = w[pick], label[pick]
         short = rng.random(len(pick)) < 0.3  # short texts too
@@ -148,16 +149,20 @@ def learned_rows(docs: DataFrame, id_col: str) -> Column:
 
 
 def samples_of(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, bytes]]:
-    """A bounded sample: windows at hashed places of at most ``per_language`` texts a label."""
+    """A bounded sample: windows at hashed places of at most ``per_language`` texts a label.
+
+    Every label is learned; a column with over MOST_LABELS of them raises ValueError.
+    """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & learned_rows(rows, "id"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return []
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("labelled"))
+    labels = counts.limit(MOST_LABELS + 1).count()
+    if labels > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels in {lang_col}")
     key = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30))
-    rate = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, 1.3 * per_language / r["count"]))])
-    most = 2 * per_language * len(sizes)
-    chosen = rows.where(key < F.try_element_at(rate, F.col("lang")) * (1 << 30)).where("text is not null and text <> ''")
+    rate = F.least(F.lit(1.0), F.lit(1.3 * per_language) / F.col("labelled"))
+    most = 2 * per_language * labels
+    chosen = rows.join(F.broadcast(counts), "lang").where(key < rate * (1 << 30)).where("text is not null and text <> ''")
     places = F.array(*[F.pmod(F.xxhash64("id", F.lit(i + 10)), F.greatest(F.length("text") - LENGTH // 2, F.lit(1))) for i in range(WINDOWS_PER_DOC)])
     chosen = chosen.select("lang", key.alias("key"), F.transform(places, lambda p: F.substring(F.col("text"), (p + 1).cast("int"), F.lit(LENGTH))).alias("parts"))
     out, taken = [], {}
@@ -229,8 +234,11 @@ def identify(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str =
 def keep_identified(docs: DataFrame, least: float = 0.4) -> DataFrame:
     """Documents whose text has a language, with windows that are sure to ``least`` or more.
 
-    The windows of a text need not agree: a clean text in several languages stays. With no label
-    to learn from nothing can be judged, and all documents stay.
+    The windows of a text need not agree: a clean text in several languages stays. Defined cases:
+    null, empty and letterless texts go; very long texts are judged by all their windows; repeated
+    rows are judged each; null labels and ids are only not learned from; with no label to learn
+    from nothing can be judged, and all documents stay; an empty table gives no rows; all columns
+    stay as they are.
     """
     model = train(samples_of(docs, "doc_id", "text", "lang"))
     if model is None:

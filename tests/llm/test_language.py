@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,3 +105,38 @@ def test_stage_rejects_nothing_without_a_model(odd):
     kept = language.keep_identified(unlabelled)
     assert kept.columns == unlabelled.columns
     assert sorted(map(repr, kept.collect())) == sorted(map(repr, unlabelled.collect()))
+
+
+def test_forward_pass_against_a_plain_convolution():
+    """The table look-ups give what a convolution over one-hot bytes gives, place by place."""
+    rng = np.random.default_rng(4)
+    model = language.train([(name, bytes(rng.integers(low, low + 12, 90, dtype=np.uint8))) for name, low in (("a", 97), ("b", 105), ("c", 112)) for _ in range(20)])
+    texts = [bytes(rng.integers(97, 123, n, dtype=np.uint8)) for n in (0, 1, 5, 127, 128, 129, 300)] + ["Ünï Çödé 中".encode()]
+    raw = np.frombuffer(b"".join(texts), np.uint8)
+    w, owner = language.windows(raw, np.cumsum([0, *map(len, texts)]))
+    got = language.Scorer(model).probabilities(w)
+    for p, window in zip(got, w, strict=True):
+        hot = np.eye(256)[window]
+        pooled = [max(float((hot[i : i + width] * f[:, :, c]).sum()) for i in range(language.LENGTH)) for f, width in zip(model.filters, language.WIDTHS, strict=True) for c in range(language.FILTERS)]
+        z = np.maximum(np.array(pooled) + model.shift, 0) @ model.out + model.bias
+        plain = np.exp(z - z.max())
+        assert np.allclose(p, plain / plain.sum(), atol=1e-4)
+    folded = [bytes(c + 32 if 65 <= c <= 90 else c for c in t) for t in texts]
+    for i, t in enumerate(folded):
+        own = w[owner == i]
+        assert own[:, : language.LENGTH].tobytes().rstrip(b"\0") == t.rstrip(b"\0")
+
+
+def test_every_label_is_learned(spark):
+    """Three hundred labels, each with a word of its own: none is left out."""
+    names = [f"l{i:03d}" for i in range(300)]
+    rows = [(i * 10 + k, f"{n} {n}{n} " * 12, n) for i, n in enumerate(names) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {lang for lang, _ in language.samples_of(docs, "doc_id", "text", "lang")} == set(names)
+
+
+def test_too_many_labels_raise(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LABELS", 3)
+    docs = spark.createDataFrame([(i, "a text", f"l{i}") for i in range(40)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="labels"):
+        language.samples_of(docs, "doc_id", "text", "lang")
