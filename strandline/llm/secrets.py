@@ -52,26 +52,66 @@ def _none() -> Column:
     return F.array().cast(_SPAN)
 
 
+RUN = 64  # elements of an array that one fold takes
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(values: Column, combine) -> Column:
+    """For each element of an int array, ``combine`` over all elements before it, from 0.
+
+    A fold that appends copies what it has at every step, so it runs over pieces of RUN elements,
+    and once over the pieces' totals: a million elements cost a few thousandths of n * n.
+    """
+
+    def fold(part: Column, first: Column) -> Column:
+        start = F.struct(first.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+        step = lambda acc, x: F.struct(combine(acc["at"], x).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(part, start, step, lambda acc: acc["out"])
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0), lambda acc, x: combine(acc, x).cast("int"))
+
+    def over(array: Column, deep: int) -> Column:
+        if not deep:
+            return fold(array, F.lit(0))
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(array) - 1) / RUN).cast("int")), lambda i: F.slice(array, i * RUN + 1, RUN))
+        zipped = lambda pieces: F.arrays_zip(pieces.alias("part"), _let(F.transform(pieces, total), lambda sums: over(sums, deep - 1)).alias("first"))
+        deeper = _let(cut, lambda pieces: F.flatten(F.transform(zipped(pieces), lambda z: fold(z["part"], z["first"]))))
+        return F.when(F.size(array) <= RUN, fold(array, F.lit(0))).otherwise(deeper)
+
+    return _let(values, lambda v: over(v, 1))
+
+
+def _plus(a: Column, b: Column) -> Column:
+    return a + b
+
+
+def _begins(gaps: Column, lens: Column) -> Column:
+    """Where things of lengths ``lens`` begin that follow gaps of lengths ``gaps``."""
+    return F.zip_with(_scan(F.zip_with(gaps, lens, _plus), _plus), gaps, _plus)
+
+
 def _matches(text: Column, pattern: str, kind: int, group: int | None = None, at_least: int = 0) -> Column:
     """Spans of all leftmost non-overlapping matches, in code points.
 
     The pieces between matches and the matches themselves alternate, so a running sum of their
     lengths gives the places. With ``group``, a match stays if that group is long enough.
     """
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    lens = F.transform(F.regexp_extract_all(text, _lit(f"({pattern})"), F.lit(1)), lambda m: F.length(m))
-    kept = F.transform(F.regexp_extract_all(text, _lit(f"({pattern})"), F.lit(group + 1)), lambda m: F.length(m) >= at_least) if group else F.transform(lens, lambda m: F.lit(True))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
+    found = F.regexp_extract_all(text, _lit(f"({pattern})"), F.lit(1))
+    kept = F.transform(F.regexp_extract_all(text, _lit(f"({pattern})"), F.lit(group + 1)), lambda m: F.length(m) >= at_least) if group else F.transform(found, lambda m: F.lit(True))
+    rows = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("m"), kept.alias("keep"))
+    rows = F.filter(rows, lambda x: x["m"].isNotNull())  # the last piece has no match after it
+    sized = F.transform(rows, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["m"]).alias("len"), x["keep"].alias("keep")))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["len"]
-        span = F.struct(begin.cast("int").alias("start"), F.lit(kind).alias("kind"), end.cast("int").alias("end"))
-        return F.struct(end.cast("int").alias("at"), F.when(x["keep"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    def spans(parts: Column) -> Column:
+        placed = F.zip_with(_begins(parts["gap"], parts["len"]), parts, lambda at, x: F.struct(at.cast("int").alias("start"), F.lit(kind).alias("kind"), (at + x["len"]).cast("int").alias("end"), x["keep"].alias("keep")))
+        return F.transform(F.filter(placed, lambda x: x["keep"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-    rows = F.arrays_zip(gaps.alias("gap"), lens.alias("len"), kept.alias("keep"))
-    rows = F.filter(rows, lambda x: x["len"].isNotNull())
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    return _let(sized, spans)
 
 
 def _hot_windows(candidate: Column, threshold: Column, window: int = WINDOW) -> Column:
@@ -130,15 +170,13 @@ def _entropy(text: Column, allowed: tuple[str, ...], classes: tuple[tuple[str, f
         return F.when(~spared, _hot_windows(shown, threshold))
 
     rows = F.transform(rows, lambda x: F.struct(x["gap"].alias("gap"), F.length(x["c"]).alias("len"), judged(x["c"]).alias("hot")))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        span = F.struct((begin + x["hot"]["first"]).cast("int").alias("start"), F.lit(3).alias("kind"), (begin + x["hot"]["last"]).cast("int").alias("end"))
-        out = F.when(x["hot"].isNotNull(), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct((begin + x["len"]).cast("int").alias("at"), out.alias("out"))
+    def spans(parts: Column) -> Column:
+        placed = F.zip_with(_begins(parts["gap"], parts["len"]), parts, lambda at, x: F.struct(at.alias("at"), x["hot"].alias("hot")))
+        hot = F.filter(placed, lambda x: x["hot"].isNotNull())
+        return F.transform(hot, lambda x: F.struct((x["at"] + x["hot"]["first"]).cast("int").alias("start"), F.lit(3).alias("kind"), (x["at"] + x["hot"]["last"]).cast("int").alias("end")))
 
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    return _let(rows, spans)
 
 
 def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets", allowed: tuple[str, ...] = ALLOWED, classes: tuple[tuple[str, float], ...] = CLASSES, known: tuple[str, ...] = ()) -> DataFrame:
@@ -166,21 +204,28 @@ def find_secrets(docs: DataFrame, text_col: str = "text", out: str = "secrets",
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Replace every secret by ``mark``; overlapping spans count as one. Null texts stay null.
+    """Replace every secret by ``mark``; overlapping spans count as one.
 
-    The bounds are SCRUB_CLASSES, which are lower than those of op5_secrets and its SQL.
+    The bounds are SCRUB_CLASSES, which are lower than those of op5_secrets and its SQL. Defined
+    cases: null texts stay null, empty ones empty; texts of any length are read whole; repeated
+    rows are scrubbed each; an empty table gives no rows; all columns and their order stay, and
+    columns named like the ones used on the way keep their values.
     """
     name = free_name(docs, "secrets")
     found = find_secrets(docs, text_col, name, SCRUB_ALLOWED, SCRUB_CLASSES, KNOWN)
-    text = F.col(f"`{text_col}`")
-
-    def step(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        kept = F.when(fresh, F.concat(acc["out"], F.array(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), kept.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate(F.col(name), start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    text, spans = F.col(f"`{text_col}`"), F.col(name)
+    ends = F.transform(spans, lambda s: s["end"])
+    # what lies between a span and all that ended before it, then the mark; overlaps give nothing
+    before = F.arrays_zip(spans.alias("span"), _scan(ends, F.greatest).alias("at"))
+
+    def scrubbed(source: Column) -> Column:
+        part = lambda first, n: F.substring(source, first + 1, n).cast("string")
+        pieces = F.transform(before, lambda x: F.when(x["span"]["start"] >= x["at"], F.concat(part(x["at"], x["span"]["start"] - x["at"]), F.lit(mark))).otherwise(F.lit("")))
+        return F.concat(F.array_join(pieces, ""), part(F.array_max(ends), F.length(source)))
+
+    # of plain ASCII, code points are bytes, which are found without a walk from the text's beginning
+    ascii = F.octet_length(text) == F.length(text)
+    whole = F.when(ascii, scrubbed(text.cast("binary"))).otherwise(scrubbed(text))
     return found.withColumn(text_col, F.when(F.size(name) > 0, whole).otherwise(text)).drop(name)
 
 

@@ -129,3 +129,29 @@ def test_empty(none):
 def test_no_python(odd):
     plan = secrets.redact(odd)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
+
+
+def test_scans(spark):
+    """Sums and maxima of what lies before, at lengths around one and two levels of pieces."""
+    rng = random.Random(3)
+    arrays = [[rng.randrange(100) for _ in range(n)] for n in (0, 1, 2, 63, 64, 65, 127, 129, 4096, 4097, 9000)]
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, a array<int>")
+    got = df.select("i", secrets._scan(F.col("a"), secrets._plus).alias("s"), secrets._scan(F.col("a"), F.greatest).alias("m")).orderBy("i").collect()
+    for r, a in zip(got, arrays, strict=True):
+        assert r["s"] == [sum(a[:k]) for k in range(len(a))]
+        assert r["m"] == [max(a[:k], default=0) for k in range(len(a))]
+
+
+def test_a_text_with_very_many_secrets(spark):
+    """Twenty thousand secrets in one text: quadratic copying would take minutes."""
+    import time
+
+    n = 20_000
+    began = time.perf_counter()
+    text = "".join(f"é token=abcdef{i:06d} \n" for i in range(n))
+    spans = found(spark, [text, "", text.replace("é", "e")])
+    assert len(spans[0]) == len(spans[2]) == n and spans[1] == []
+    assert spans[0] == [(2 + i * 22, 0, 20 + i * 22) for i in range(n)] == spans[2]
+    (r,) = secrets.redact(spark.createDataFrame([(1, text.replace("é", "e"))], "i long, text string")).collect()
+    assert r["text"] == "e [SECRET] \n" * n
+    assert time.perf_counter() - began < 90
