@@ -16,7 +16,8 @@ SPAN = 13  # words of a window; every shared span of so many words is found
 GRAM = 5  # words of a fingerprint
 WINDOW = SPAN - GRAM + 1  # fingerprints of a winnowing window
 SHARE = 20  # contaminated if at least one word in SHARE is hit
-BLOCK_BYTES = 64 << 20  # text of the benchmark that is broadcast at once
+BLOCK_BYTES = 32 << 20  # text of the benchmark that is broadcast at once; see Index for its size in a worker
+REMEMBERED = 10_000  # windows whose items a worker remembers
 SLICE = 250_000  # bytes hashed at once
 
 # digits, letters after lower-casing, and all that is not ASCII
@@ -97,32 +98,62 @@ def winnow(grams: np.ndarray, first: np.ndarray, n_words: np.ndarray, gram: int,
 
 
 class Index:
-    """Windows of benchmark items: winnowed fingerprints, exact windows, and who has them."""
+    """Windows of benchmark items: winnowed fingerprints, hashes of whole windows and where they are.
+
+    All in arrays: the items' bytes, the ends of words (8 bytes a word), for each window a hash
+    and a place (12 bytes), and fingerprints (8 bytes, about two in ten words): four to five times
+    the text of usual words, and ten times that of words of one letter.
+    """
 
     def __init__(self, items: list[tuple[object, str]], span: int, gram: int):
         self.span, self.gram, self.window = span, gram, span - gram + 1
-        windows: dict[bytes, set] = {}
-        lengths: dict[int, list] = {}
-        prints: list[np.ndarray] = []
-        for name, text in items:
-            raw = np.frombuffer(text.encode(), np.uint8)
-            low, starts, ends, _ = words_of(raw, np.array([0, len(raw)]))
-            n = len(starts)
-            if not n:
-                continue
-            hashes, blob = word_hashes(low, starts, ends), low.tobytes()
-            words = [blob[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            size = min(n, span)
-            lengths.setdefault(size, []).append(gram_hashes(hashes, size))
-            for i in range(n - size + 1):
-                windows.setdefault(b" ".join(words[i : i + size]), set()).add(name)
-            if size == span:
-                grams = gram_hashes(hashes, gram)
-                prints.append(grams[winnow(grams, np.array([0]), np.array([n]), gram, self.window)])
-        self.windows = windows
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64)
-        # hashes of whole windows, by number of words: short items, and the span itself
-        self.wholes = {n: np.unique(np.concatenate(h)) for n, h in lengths.items()}
+        self.names = [name for name, _ in items]
+        raw, offsets = utf8(pa.array([text for _, text in items], pa.large_string()))
+        lows, starts, ends, firsts, prints, before = [], [], [], [np.zeros(1, np.int64)], [], 0
+        windows: dict[int, list] = {}
+        for a, b in slices(offsets, SLICE):
+            low, begin, end, first = words_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            hashes, n_words = word_hashes(low, begin, end), np.diff(first)
+            for n in np.unique(np.minimum(n_words, span)).tolist():
+                if not n:
+                    continue
+                mine = np.minimum(n_words, span) == n
+                per = np.where(mine, n_words - n + 1, 0)
+                at = np.repeat(first[:-1], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+                windows.setdefault(n, []).append((gram_hashes(hashes, n)[at], (at + before).astype(np.int32)))
+            grams = gram_hashes(hashes, gram)
+            prints.append(np.unique(grams[winnow(grams, first[:-1], n_words, gram, self.window)]))
+            lows.append(low)
+            starts.append((begin + offsets[a]).astype(np.int32))
+            ends.append((end + offsets[a]).astype(np.int32))
+            firsts.append(first[1:] + before)
+            before += len(begin)
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        self.low, self.starts, self.ends, self.first = join(lows, np.uint8), join(starts, np.int32), join(ends, np.int32), np.concatenate(firsts)
+        self.prints = np.unique(join(prints, np.uint64))
+        # by number of words (short items, and the span itself): ascending hashes, places of first words
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for n, parts in windows.items():
+            hashes, places = (np.concatenate(x) for x in zip(*parts, strict=True))
+            by = np.argsort(hashes, kind="stable")
+            self.at[n] = hashes[by], places[by]
+        self.asked: dict[bytes, frozenset] = {}
+
+    def nbytes(self) -> int:
+        """Bytes of all arrays."""
+        arrays = [self.low, self.starts, self.ends, self.first, self.prints, *(x for pair in self.at.values() for x in pair)]
+        return sum(a.nbytes for a in arrays)
+
+    def items_with(self, window: bytes, h: np.uint64, n: int) -> frozenset:
+        """Numbers of the items that have this window of ``n`` words, compared word by word."""
+        if window not in self.asked:
+            if len(self.asked) >= REMEMBERED:
+                self.asked.clear()
+            hashes, places = self.at[n]
+            lo, hi = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+            same = [p for p in places[lo:hi].tolist() if b" ".join([self.low[a:b].tobytes() for a, b in zip(self.starts[p : p + n].tolist(), self.ends[p : p + n].tolist(), strict=True)]) == window]
+            self.asked[window] = frozenset((np.searchsorted(self.first, same, side="right") - 1).tolist())
+        return self.asked[window]
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -139,7 +170,7 @@ def scan(index: Index, raw: np.ndarray, offsets: np.ndarray):
     n_words = np.diff(first)
     first = first[:-1]
     hashes = word_hashes(low, starts, ends)
-    spans: list[tuple[np.ndarray, int]] = []
+    spans: list[tuple[np.ndarray, np.ndarray, int]] = []
     if len(index.prints):
         grams = gram_hashes(hashes, index.gram)
         kept = winnow(grams, first, n_words, index.gram, index.window)
@@ -147,32 +178,32 @@ def scan(index: Index, raw: np.ndarray, offsets: np.ndarray):
         if len(hits):  # extend: the windows of span words that hold the hit
             tries = np.unique((hits[:, None] - np.arange(index.window)[None, :]).ravel())
             tries = tries[(tries >= 0) & (tries + index.span <= len(hashes))]
-            spans.append((_whole(hashes, tries, index.span, index.wholes[index.span]), index.span))
-    for n, known in index.wholes.items():
+            whole = np.zeros(len(tries), np.uint64)
+            for i in range(index.span):
+                whole = whole * _BASE + hashes[tries + i]
+            whole = _mix(whole)
+            hit = _among(whole, index.at[index.span][0])
+            spans.append((tries[hit], whole[hit], index.span))
+    for n, (known, _) in index.at.items():
         if n < index.span:  # items shorter than a window: all runs of their length
-            spans.append((np.flatnonzero(_among(gram_hashes(hashes, n), known)), n))
+            runs_of_n = gram_hashes(hashes, n)
+            places = np.flatnonzero(_among(runs_of_n, known))
+            spans.append((places, runs_of_n[places], n))
     intervals: dict[int, list] = {}
     found: dict[int, set] = {}
     if spans:
         blob = low.tobytes()
-        for places, n in spans:
+        for places, whole, n in spans:
             docs = np.searchsorted(first, places, side="right") - 1
             inside = places + n <= first[docs] + n_words[docs]
-            for p, d in zip(places[inside].tolist(), docs[inside].tolist(), strict=True):
+            for p, h, d in zip(places[inside].tolist(), whole[inside], docs[inside].tolist(), strict=True):
                 window = b" ".join([blob[a:b] for a, b in zip(starts[p : p + n].tolist(), ends[p : p + n].tolist(), strict=True)])
-                names = index.windows.get(window)
-                if names:
+                items = index.items_with(window, h, n)
+                if items:
                     p -= int(first[d])
                     intervals.setdefault(d, []).append((p, p + n))
-                    found.setdefault(d, set()).update(names)
-    return n_words, intervals, found
-
-
-def _whole(hashes: np.ndarray, places: np.ndarray, n: int, known: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(places), np.uint64)
-    for i in range(n):
-        out = out * _BASE + hashes[places + i]
-    return places[_among(_mix(out), known)]
+                    found.setdefault(d, set()).update(items)
+    return n_words, intervals, {d: {index.names[i] for i in items} for d, items in found.items()}
 
 
 def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -252,10 +283,9 @@ _indexes: dict = {}
 
 
 def _index(key: str, items, span: int, gram: int) -> Index:
-    """One index per Python worker and broadcast block; the last few are kept."""
+    """The index of a broadcast block; a Python worker keeps the last one."""
     if key not in _indexes:
-        if len(_indexes) > 3:
-            _indexes.clear()
+        _indexes.clear()
         _indexes[key] = Index(items.value, span, gram)
     return _indexes[key]
 
@@ -268,7 +298,12 @@ def counts(marked, name: str):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents that are not contaminated, with the columns they had."""
+    """The documents that are not contaminated, with the columns they had.
+
+    Defined cases: null, empty and wordless texts stay, as nothing in them is hit; texts of any
+    length are read whole; copies and repeated rows are judged each; an empty benchmark, or one of
+    nulls, keeps every document; an empty table gives no rows; clashing columns keep their values.
+    """
     name = free_name(docs, "contamination")
     marked = mark_contamination(docs, benchmark, name, text_col)
     return marked.where(~counts(marked, name)[2]).drop(name)

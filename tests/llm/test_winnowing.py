@@ -4,10 +4,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import winnowing as w
+from strandline.llm.common import utf8
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -105,3 +107,20 @@ def test_rule_and_empty_tables(spark, none):
     assert w.decontaminate(docs, bench).columns == docs.columns
     assert w.decontaminate(docs, bench.limit(0)).count() == 3
     assert w.decontaminate(none, bench).collect() == []
+
+
+def test_a_benchmark_of_20_megabytes():
+    """The index stays under eight times its text and finds what is planted."""
+    rng = np.random.default_rng(6)
+    vocabulary = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(3, 11, 40_000)]
+    draws = rng.integers(0, len(vocabulary), (1500, 1800))
+    items = [(i, " ".join([vocabulary[j] for j in row])) for i, row in enumerate(draws)]
+    size = sum(len(t) for _, t in items)
+    index = w.Index(items, 13, 5)
+    assert size > 20e6 and index.nbytes() < 8 * size
+    planted = [(i, rng.integers(0, 1700)) for i in range(0, 1500, 100)]
+    texts = ["x y z " + " ".join(items[i][1].split()[k : k + 20]) + " q" for i, k in planted] + ["nothing here " * 30]
+    raw, offsets = utf8(pa.array(texts))
+    n_words, intervals, found = w.scan(index, raw, offsets)
+    assert [found.get(d, set()) for d in range(len(texts))] == [{i} for i, _ in planted] + [set()]
+    assert all(w.merged(intervals[d]) == [(3, 23)] for d in range(len(planted)))
