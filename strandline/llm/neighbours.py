@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,8 @@ SAMPLE = 4096  # vectors that scale the projections
 TUNING = 96  # queries answered by brute force to fit the window
 TARGET = 0.95  # share of true neighbours that the window must reach on them
 LEAST_WINDOW = 64
+MOST_BLOCK = 4096  # classes of a block of ranks
+MOST_WIDTHS = 16
 
 
 @dataclass
@@ -86,18 +89,22 @@ def _brute(classes: DataFrame, sample: list, k: int) -> dict[int, list[int]]:
     return out
 
 
-def _window(ranked: DataFrame, truth: dict[int, list[int]]) -> int:
-    """The least distance in rank that reaches TARGET of the true neighbours on some curve."""
+def _window(ranked: DataFrame, truth: dict[int, list[int]]) -> tuple[int, int]:
+    """(curves, window): of the first 4, 8 or all curves with the least distance in rank that
+    reaches TARGET of the true neighbours on some curve, the pair with the fewest candidates."""
     reps = sorted({*truth, *(p for ps in truth.values() for p in ps)})
     if not reps:
-        return LEAST_WINDOW
+        return CURVES, LEAST_WINDOW
     spark = ranked.sparkSession
     wanted = spark.createDataFrame([(r,) for r in reps], "rep long")  # at most TUNING * 11 rows
     place: dict[int, dict[int, int]] = {}
     for r in ranked.join(F.broadcast(wanted), "rep").select("rep", "curve", "rank").collect():
         place.setdefault(r["rep"], {})[r["curve"]] = r["rank"]
-    apart = [min(abs(place[q][c] - place[p][c]) for c in place[q]) for q, ps in truth.items() for p in ps]
-    return max(LEAST_WINDOW, int(np.quantile(apart, TARGET, method="higher"))) if apart else LEAST_WINDOW
+    apart = np.array([[abs(place[q][c] - place[p][c]) for c in range(CURVES)] for q, ps in truth.items() for p in ps])
+    if not len(apart):
+        return CURVES, LEAST_WINDOW
+    fits = [(n, max(LEAST_WINDOW, int(np.quantile(apart[:, :n].min(axis=1), TARGET, method="higher")))) for n in (CURVES // 4, CURVES // 2, CURVES)]
+    return min(fits, key=lambda f: (f[0] * f[1], f[0]))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -106,25 +113,34 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, id_col: str
     Equal vectors are one class, which holds its k + 1 smallest ids (a partial top-k before the
     shuffle, so a vector that a third of the rows share is no large group). Each class gets a key
     on CURVES Hilbert curves of random projections with random shifts; Spark range-partitions by
-    (curve, key), and per-partition counts give ranks. A query meets the classes of its own block
-    of ranks and the two beside it, so at least ``window`` ranks to either side; per block the
-    nearest are found with exact distances, and curves are merged and ranked again.
-
-    The window is fitted: TUNING queries are answered by brute force over all rows, and the window
-    is the least that reaches TARGET of their true neighbours. Every row is indexed.
-
-    Defined cases: vectors that are null, zero, or hold null or non-finite components, or whose
-    length is not the most common one, take no part, nor do null ids; of rows that share an id and
-    vector one counts; fewer than k candidates are all given; other columns are ignored.
+    (curve, key), and per-partition counts give ranks. A query meets the classes of the blocks of
+    ranks around its own, at least ``window`` ranks to either side; per block the nearest are found
+    with exact distances, and curves are merged and ranked again. A block holds at most MOST_BLOCK
+    classes, and only blocks that a query asks for get their vectors.
+
+    Curves and window are fitted: TUNING queries are answered by brute force over all rows, and of
+    the pairs that reach TARGET of their true neighbours the one with fewest candidates is taken.
+    Every row is indexed.
+
+    Defined cases: vectors that are null, zero, or hold null or non-finite components take no
+    part, nor do null ids; vectors of another length have no distance to a query, so each length
+    is searched by itself (more than MOST_WIDTHS lengths raise ValueError); of rows that share an
+    id and vector one counts; fewer than k candidates are all given; other columns are ignored.
     """
     spark = vectors.sparkSession
     rows = vectors.where(is_query.isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").alias("vec"), is_query.alias("asks"))
     rows = rows.where(F.col("id").isNotNull() & _sound(F.col("vec")))
-    width = rows.groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if width is None:
-        return empty
-    rows = rows.where(F.size("vec") == width["w"]).withColumn("h", F.xxhash64("vec"))
+    widths = [r["w"] for r in rows.groupBy(F.size("vec").alias("w")).count().orderBy("w").limit(MOST_WIDTHS + 1).collect()]
+    if len(widths) > MOST_WIDTHS:
+        raise ValueError(f"vectors of more than {MOST_WIDTHS} lengths")
+    found = [_nearest_of_width(rows.where(F.size("vec") == w), k) for w in widths]
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], "query_id long, rank int, vec_id long, score double"))
+
+
+def _nearest_of_width(rows: DataFrame, k: int) -> DataFrame:
+    """`nearest` for sound vectors (id, vec, asks) of one length."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("h", F.xxhash64("vec"))
     first = Window.partitionBy("h", "vec").orderBy("id")
     members = rows.select("h", "vec", "id").withColumn("n", F.row_number().over(first)).where(f"n <= {k + 1}")
     members = members.groupBy("h", "vec").agg(F.array_sort(F.array_distinct(F.collect_list("id"))).alias("members"))
@@ -147,12 +163,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, id_col: str
     run = Window.partitionBy("pid").orderBy("curve", "key", "rep")
     ranked = keys.join(F.broadcast(starts), "pid").select("curve", "rep", "asks", (F.col("start") + F.row_number().over(run)).alias("rank"))  # starts: a row a partition
     tuning = classes.where("asks").orderBy(F.xxhash64("rep", F.lit(1))).limit(TUNING).select("rep", "vec").collect()
-    window = _window(ranked, _brute(classes, tuning, k)) if tuning else LEAST_WINDOW
-
-    placed = ranked.withColumn("block", F.expr(f"rank div {window}L")).join(classes.select("rep", "vec"), "rep")
-    points = placed.select("curve", "block", "rep", "vec")
-    fresh = [F.col(c).alias(c) for c in ("curve", "rep", "vec")]  # aliased, as both sides come from one table
-    asks = placed.where("asks").select(*fresh, F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
+    curves_used, window = _window(ranked, _brute(classes, tuning, k)) if tuning else (CURVES, LEAST_WINDOW)
+    size = min(window, MOST_BLOCK)
+    reach = -(-window // size)
+
+    placed = ranked.where(F.col("curve") < curves_used).withColumn("block", F.expr(f"rank div {size}L"))
+    vectors = classes.select("rep", "vec")
+    around = F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block")
+    asked = placed.where("asks").select("curve", "rep", around)
+    wanted = asked.select("curve", "block").distinct()
+    points = placed.select("curve", "block", "rep").join(wanted, ["curve", "block"], "left_semi").join(vectors, "rep")
+    fresh = [F.col(c).alias(c) for c in ("curve", "block", "rep")]  # aliased, as both sides come from one table
+    asks = asked.select(*fresh).join(vectors.select(*[F.col(c).alias(c) for c in ("rep", "vec")]), "rep")
 
     def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(q):

@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import os
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm.hilbert import hilbert_key
+from strandline.llm import neighbours
 from strandline.llm.neighbours import nearest
 
 
@@ -68,3 +72,24 @@ def test_few_and_none(spark):
     assert [(r["vec_id"], r["rank"]) for r in nearest(df, F.col("vec_id") % 100 == 0).collect()] == [(7, 1)]
     assert nearest(df.limit(0), F.col("vec_id") % 100 == 0).collect() == []
     assert nearest(df.where("vec_id = 7"), F.col("vec_id") % 100 == 0).collect() == []
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_recall_on_the_test_vectors(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    assert recall(found(df), brute(rows)) >= 0.9
+
+
+def test_blocks_are_bounded_and_widths_apart(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_BLOCK", 16)
+    monkeypatch.setattr(neighbours, "LEAST_WINDOW", 20)
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(400)]
+    short = [(1000 + i, [float(i), 1.0]) for i in range(0, 300, 50)]
+    got = found(spark.createDataFrame(rows + short, "vec_id long, embedding array<float>"))
+    assert recall({q: n for q, n in got.items() if q < 1000}, brute(rows)) >= 0.9
+    assert {q: got[q] for q in got if q >= 1000} == brute(short)
+    monkeypatch.setattr(neighbours, "MOST_WIDTHS", 1)
+    with pytest.raises(ValueError, match="lengths"):
+        found(spark.createDataFrame(rows + short, "vec_id long, embedding array<float>"))
