@@ -1,62 +1,72 @@
-"""Stupid-backoff scores of documents under bigram counts of all the other documents."""
+"""Stupid-backoff scores of documents under n-gram counts of all the other documents."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_bytes, slices, stage, utf8
+from .common import arrow_bytes, slices, utf8
 from .winnowing import _WORDS_SQL, SLICE, gram_hashes, word_hashes, words_of
 
+ORDER = 3  # words of the longest n-gram
 BACKOFF = 0.4
 BLOCK_BYTES = 8 << 20  # text of a block of documents
-BUCKET_BYTES = 16 << 20  # text whose n-grams one hash bucket holds, on average
+FAN_BITS = 11  # a level cuts the n-grams of an owner in so many pieces (a power of two), at most
+FAN_PER_BLOCK = 128  # pieces for each block there is: small tables are cut less
+GATHER = (8192, 2048)  # owners whose pieces one count table takes, on the first and on later levels
+TASK_BYTES = 64 << 20  # text whose n-grams one shuffle partition takes
+
+_squeeze, _expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers as compressed byte planes."""
+    return _squeeze(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T))
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_expand(data), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as compressed byte planes of their differences."""
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes())
+    """Ascending 64-bit keys, by their differences."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(_numbers(data), dtype=np.uint64)
 
 
 def pack_numbers(values: np.ndarray) -> bytes:
-    """32-bit numbers as compressed byte planes."""
-    return zstandard.ZstdCompressor(level=1).compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return _planes(np.asarray(values))
 
 
 def unpack_numbers(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    return _numbers(data).astype(np.int64)
 
 
-def _bigrams(vocab: np.ndarray, words: np.ndarray, sizes: np.ndarray):
-    """Hashes of the bigrams inside documents, and the place of each one's second word."""
-    inner = np.ones(len(words), bool)
+def _ngrams(hashes: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-grams inside documents, and the place of the last word of each."""
     ends = np.cumsum(sizes)
-    inner[(ends - sizes)[sizes > 0]] = False
-    second = np.flatnonzero(inner)
-    return gram_hashes(vocab[words], 2)[second - 1] if len(second) else np.zeros(0, np.uint64), second
-
+    nth = np.arange(len(hashes)) - np.repeat(ends - sizes, sizes)
+    last = np.flatnonzero(nth >= n - 1)
+    return gram_hashes(hashes, n)[last - n + 1] if len(last) else np.zeros(0, np.uint64), last
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
+def _blocks(source: DataFrame, block_bytes: int) -> DataFrame:
+    """Documents of each partition in blocks: ids, words a document, word numbers, vocabulary.
 
-def _blocks(source: DataFrame) -> DataFrame:
-    """Documents of each partition in blocks: ids, words a document, word numbers, vocabulary."""
+    A block's number is a hash of its place and content, so that a block is known again.
+    """
     id_type = source.schema[0].dataType
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("sizes", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("vocab", T.BinaryType())])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("sizes", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("vocab", T.BinaryType())])
 
     def run(batches):
         base, nth = TaskContext.get().partitionId() << 24, 0
@@ -64,20 +74,22 @@ def _blocks(source: DataFrame) -> DataFrame:
 
         def flush():
             vocab, words = np.unique(np.concatenate(hashes), return_inverse=True)
-            row = [[base + nth], [ids], [pack_numbers(np.concatenate(sizes))], [pack_numbers(words)], [pack_sorted(vocab)]]
-            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.list_(kind)), *(pa.array(x, pa.binary()) for x in row[2:])], names=schema.names)
+            held = [pack_numbers(np.concatenate(sizes)), pack_numbers(words), pack_sorted(vocab)]
+            name = xxhash.xxh64_intdigest(b"".join(held), base + nth) >> 1
+            row = [[name], [len(words)], [ids], *([x] for x in held)]
+            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.int64()), pa.array(row[2], pa.list_(kind)), *(pa.array(x, pa.binary()) for x in row[3:])], names=schema.names)
 
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             kind = batch.column(0).type
             names = batch.column(0).to_pylist()
-            for a, b in slices(offsets, SLICE):
+            for a, b in slices(offsets, min(SLICE, block_bytes)):
                 low, starts, ends, first = words_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 ids += names[a:b]
                 sizes.append(np.diff(first))
                 hashes.append(word_hashes(low, starts, ends))
                 held += int(offsets[b] - offsets[a]) + 16 * (b - a)
-                if held >= BLOCK_BYTES:
+                if held >= block_bytes:
                     yield flush()
                     ids, sizes, hashes, held, nth = [], [], [], 0, nth + 1
         if ids:
@@ -86,39 +98,80 @@ def _blocks(source: DataFrame) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
-    """The distinct n-grams of each block with their counts, cut by hash bucket."""
+def _cut(owner: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pd.DataFrame:
+    """Rows (path, owner, keys, counts): ascending keys cut by their first ``bits`` bits."""
+    path = (keys >> np.uint64(64 - bits)).astype(np.int64)
+    at = np.append(np.flatnonzero(np.diff(path, prepend=-1)), len(keys)).tolist()
+    spans = list(zip(at[:-1], at[1:], strict=True))
+    return pd.DataFrame({"path": path[at[:-1]], "owner": np.full(len(spans), owner), "keys": [pack_sorted(keys[a:b]) for a, b in spans], "counts": [pack_numbers(counts[a:b]) for a, b in spans]}).astype({"path": "int64", "owner": "int64"})
+
+
+PIECE = "path long, owner long, keys binary, counts binary"
+
+
+def exploded(blocks: DataFrame, order: int, bits: int) -> DataFrame:
+    """The distinct n-grams of each block, of all orders, with their counts there: PIECE rows."""
 
     def run(frames):
         for frame in frames:
             for row in frame.itertuples():
-                vocab, words, sizes = unpack_sorted(row.vocab), unpack_numbers(row.words), unpack_numbers(row.sizes).astype(np.int64)
-                pairs, n_pairs = np.unique(_bigrams(vocab, words, sizes)[0], return_counts=True)
-                for n, keys, counts in ((1, vocab, np.bincount(words, minlength=len(vocab))), (2, pairs, n_pairs)):
-                    bucket = _bucket(keys, buckets)
-                    cut = np.append(np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets + 1))), len(keys))
-                    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-                    yield pd.DataFrame({"bucket": [int(bucket[a]) for a, _ in spans], "block": row.block, "n": n, "keys": [pack_sorted(keys[a:b]) for a, b in spans], "counts": [pack_numbers(counts[a:b]) for a, b in spans]}).astype({"bucket": "int64", "block": "int64", "n": "int32"})
+                hashes, sizes = unpack_sorted(row.vocab)[unpack_numbers(row.words)], unpack_numbers(row.sizes)
+                each = [np.unique(_ngrams(hashes, sizes, n)[0], return_counts=True) for n in range(1, order + 1)]
+                keys, counts = (np.concatenate(x) for x in zip(*each, strict=True))
+                by = np.argsort(keys, kind="stable")
+                yield _cut(row.block, keys[by], counts[by], bits)
+
+    return blocks.select("block", "sizes", "words", "vocab").mapInPandas(run, PIECE)
+
+
+def _table(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """The count table of pieces: ascending keys, counts; and where each piece's keys are in it."""
+    keys = [unpack_sorted(k) for k in frame["keys"]]
+    table, place = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.bincount(place, weights=np.concatenate([unpack_numbers(c) for c in frame["counts"]]), minlength=len(table)).astype(np.int64)
+    return table, counts, place, np.cumsum([len(k) for k in keys]).tolist()
 
-    return blocks.select("block", "sizes", "words", "vocab").mapInPandas(run, "bucket long, block long, n int, keys binary, counts binary")
 
+def _dealt(pieces: DataFrame, tasks: int, *by: str) -> DataFrame:
+    """More shuffle partitions than the session's, where the size asks for them."""
+    return pieces.repartition(tasks, *by) if tasks > int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")) else pieces
 
-def _answers(requests: DataFrame) -> DataFrame:
-    """The count table of each bucket, looked up for every block that asked."""
 
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for n, part in frame.groupby("n"):
-            keys = [unpack_sorted(k) for k in part["keys"]]
-            table, place = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(place, weights=np.concatenate([unpack_numbers(c) for c in part["counts"]]), minlength=len(table)).astype(np.int64)
-            ends = np.cumsum([len(k) for k in keys])
-            # counts beyond 32 bits stay at the largest, where one more makes no difference to a logarithm
-            told = np.minimum(total[place], (1 << 32) - 1)
-            out += [(int(b), int(n), int(frame["bucket"].iloc[0]), pack_numbers(x)) for b, x in zip(part["block"], np.split(told, ends[:-1]), strict=True)]
-        return pd.DataFrame(out, columns=["block", "n", "bucket", "counts"]).astype({"n": "int32"})
+def counted(pieces: DataFrame, owners: int, bits: int, gather: tuple[int, ...], tasks: int, level: int = 0) -> DataFrame:
+    """(path, owner, keys, counts): every piece with the counts of its n-grams over all owners.
 
-    return requests.groupBy("bucket").applyInPandas(count, "block long, n int, bucket long, counts binary")
+    The count tables are partitioned by the first bits of the n-gram's hash. Where there are more
+    owners than one table takes, tables of groups of owners become the owners of the next level,
+    cut by the next ``bits`` bits; their answers come back the same way. So a row holds a bounded
+    part of an owner, and rows are 2 ** bits an owner and level at most.
+    """
+    most = gather[min(level, len(gather) - 1)]
+    groups = -(-owners // most)
+
+    if groups <= 1:
+
+        def answer(frame: pd.DataFrame) -> pd.DataFrame:
+            _, total, place, ends = _table(frame)
+            return frame[["path", "owner", "keys"]].assign(counts=[pack_numbers(x) for x in np.split(total[place], ends[:-1])])
+
+        return _dealt(pieces, tasks, "path").groupBy("path").applyInPandas(answer, PIECE)
+
+    shelved = pieces.withColumn("shelf", F.pmod(F.xxhash64("owner"), F.lit(groups)))
+    below = min(60, bits * (level + 2))
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        keys, counts, _, _ = _table(frame)
+        return _cut(int(frame["shelf"].iloc[0]), keys, counts, below)
+
+    upper = counted(_dealt(shelved, tasks, "path", "shelf").groupBy("path", "shelf").applyInPandas(merge, PIECE), groups, bits, gather, tasks, level + 1)
+
+    def hand_down(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        told = told.sort_values("path")
+        table, total = (np.concatenate([f(x) for x in told[c]]) for c, f in (("keys", unpack_sorted), ("counts", unpack_numbers)))
+        return frame[["path", "owner", "keys"]].assign(counts=[pack_numbers(total[np.searchsorted(table, unpack_sorted(k))]) for k in frame["keys"]])
+
+    told = upper.select(F.shiftrightunsigned("path", below - bits * (level + 1)).alias("above"), F.col("owner").alias("shelf"), "path", "keys", "counts")
+    return shelved.groupBy("path", "shelf").cogroup(told.groupBy("above", "shelf")).applyInPandas(hand_down, PIECE)
 
 
 def _own(doc: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
@@ -127,17 +180,47 @@ def _own(doc: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
     return counts[inverse]
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", backoff: float = BACKOFF) -> DataFrame:
-    """Score each document by bigram stupid backoff under the counts of all other documents.
-
-    S(w | v) = c(v w) / c(v) if c(v w) > 0, else backoff * S(w); S(w) = c(w) / N, or 1 / (N + 1)
-    for a word that no other document has. c counts every document but the scored one, N its
-    words. Words are runs of letters, digits and non-ASCII characters, lower-cased in A-Z.
-
-    Documents become staged blocks of word numbers. Each block's distinct n-grams, with counts,
-    go by hash to buckets (the count tables, evenly filled whatever words are frequent, as a
-    block sends an n-gram once); a bucket adds up and answers each block; answers meet their
-    block, where terms are summed per document. Buckets grow in number with the text.
+def block_scores(hashes: np.ndarray, sizes: np.ndarray, total: np.ndarray, words_in_all: int, order: int, backoff: float) -> np.ndarray:
+    """Log scores of a block's documents. ``total`` holds the counts over all documents of the
+    block's distinct n-grams of all orders, ascending by key."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    rest = np.maximum(words_in_all - sizes, 0)[doc]
+    grams = [_ngrams(hashes, sizes, n) for n in range(1, order + 1)]
+    each = [np.unique(keys, return_inverse=True) for keys, _ in grams]
+    table = np.sort(np.concatenate([keys for keys, _ in each]))
+    term = below = None
+    for n, ((_, last), (keys, place)) in enumerate(zip(grams, each, strict=True), 1):
+        others = np.zeros(len(hashes), np.int64)  # of the n-gram that ends at a place
+        if len(last):
+            others[last] = total[np.searchsorted(table, keys)][place] - _own(doc[last], place, len(keys))
+        if n == 1:
+            term = np.log(np.where(others > 0, others, 1)) - np.log(np.where(others > 0, rest, rest + 1))
+        elif len(last):
+            count, context = others[last], below[last - 1]
+            seen = (count > 0) & (context > 0)
+            found = np.log(np.where(seen, count, 1)) - np.log(np.where(seen, context, 1))
+            term[last] = np.where(seen, found, np.log(backoff) + term[last])
+        below = others
+    return np.bincount(doc, weights=term, minlength=len(sizes))
+
+
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES, fan_bits: int = FAN_BITS, gather: tuple[int, ...] = GATHER) -> DataFrame:
+    """Score each document by stupid backoff under the n-gram counts of all other documents.
+
+    For n from 2 to ``order``, S(w | context) = c(context w) / c(context) if c(context w) > 0, else
+    backoff * S(w | shorter context); S(w) = c(w) / N, or 1 / (N + 1) for a word that no other
+    document has. c counts every document but the scored one, N its words. Words are runs of
+    letters, digits and non-ASCII characters, lower-cased in A-Z.
+
+    Documents are read in blocks of word numbers. Each block's exploded n-grams, distinct and
+    with their counts (the map-side combine, so a frequent n-gram is one entry a block), go by
+    hash to the count tables, which add up and join them; answers meet their block, where terms
+    are summed per document. Entries travel as ascending arrays of 64-bit hashes and counts, a
+    row for each (block, hash range), which take a third of the room of rows of their own; see
+    `counted` for how rows stay in proportion to the text. Two n-grams of one hash share a count:
+    of N distinct n-grams a share of N / 2**64 does. Blocks are made again for scoring rather
+    than stored; should ``docs`` give other rows by then (an input without a fixed order, such
+    as an unstaged shuffle), that raises an error.
 
     Returns doc_id, n_words, log_score (natural logarithm), mean_log_score. Defined cases: null,
     empty and wordless texts have 0 words, log_score 0 and a null mean; repeated rows are other
@@ -147,42 +230,25 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     spark = docs.sparkSession
     arrow_bytes(spark)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    blocks = stage(_blocks(source), "lm-blocks", "uncompressed")
-    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    answers = _answers(_requests(blocks, max(1, -(-size // BUCKET_BYTES))))
-
-    def total(frames):
-        for frame in frames:
-            yield pd.DataFrame({"n": [int(sum(int(unpack_numbers(s).sum()) for s in frame["sizes"]))]})
-
-    words_in_all = blocks.select("sizes").mapInPandas(total, "n long").agg(F.sum("n")).first()[0] or 0
+    blocks = _blocks(source, block_bytes)
+    owners, words_in_all = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    bits = max(1, min(fan_bits, (FAN_PER_BLOCK * max(1, owners) - 1).bit_length()))
+    told = counted(exploded(blocks, order, bits), owners, bits, gather, -(-owners * block_bytes // TASK_BYTES))
     schema = T.StructType([T.StructField("doc_id", source.schema[0].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType())])
 
     def score(block: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         row = next(block.itertuples())
-        vocab, words, sizes = unpack_sorted(row.vocab), unpack_numbers(row.words).astype(np.int64), unpack_numbers(row.sizes).astype(np.int64)
-        told = told.sort_values(["n", "bucket"])
-        counts = {n: np.concatenate([unpack_numbers(c) for c in part["counts"]]).astype(np.int64) for n, part in told.groupby("n")}
-        doc = np.repeat(np.arange(len(sizes)), sizes)
-        rest = np.maximum(words_in_all - sizes, 0)[doc]
-        if len(words):
-            single = counts[1][words] - _own(doc, words, len(vocab))
-            term = np.log(np.where(single > 0, single, 1)) - np.log(np.where(single > 0, rest, rest + 1))
-            pairs, second = _bigrams(vocab, words, sizes)
-            if len(second):
-                table, place = np.unique(pairs, return_inverse=True)
-                both = counts[2][place] - _own(doc[second], place, len(table))
-                context = single[second - 1]
-                seen = (both > 0) & (context > 0)
-                found = np.log(np.where(seen, both, 1)) - np.log(np.where(seen, context, 1))
-                term[second] = np.where(seen, found, np.log(backoff) + term[second])
-        else:
-            term = np.zeros(0)
-        sums = np.bincount(doc, weights=term, minlength=len(sizes)) if len(sizes) else np.zeros(0)
+        hashes, sizes = unpack_sorted(row.vocab)[unpack_numbers(row.words)], unpack_numbers(row.sizes)
+        sums = np.zeros(len(sizes))
+        if len(hashes) and not len(told):
+            raise RuntimeError("documents came in another order when they were read again: stage them first")
+        if len(hashes):
+            total = np.concatenate([unpack_numbers(c) for c in told.sort_values("path")["counts"]])
+            sums = block_scores(hashes, sizes, total, words_in_all, order, backoff)
         return pd.DataFrame({"doc_id": row.ids, "n_words": sizes, "log_score": sums})
 
-    told = answers.withColumnRenamed("block", "for_block")
-    scored = blocks.groupBy("block").cogroup(told.groupBy("for_block")).applyInPandas(score, schema)
+    answers = told.select(F.col("owner").alias("for_block"), "path", "counts")
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("for_block")).applyInPandas(score, schema)
     return scored.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
@@ -194,17 +260,16 @@ def op8_lm_score(spark, sf_dir: str) -> DataFrame:
 ORACLE_SQL = f"""
 with d as (select row_number() over () rid, doc_id, {_WORDS_SQL} w from documents),
 t as (select rid, unnest(w) x, unnest(generate_series(1, len(w))) i from d),
-p as (select rid, i, x, lag(x) over (partition by rid order by i) v from t),
 total as (select count(*) n from t),
-one as (select x, count(*) c from t group by x), own1 as (select rid, x, count(*) c from t group by all),
-two as (select v, x, count(*) c from p where v is not null group by all), own2 as (select rid, v, x, count(*) c from p where v is not null group by all),
-terms as (
-  select p.rid, n - len(w) rest, one.c - own1.c single, coalesce(two.c - own2.c, 0) both_, coalesce(vone.c - vown.c, 0) context, p.v
-  from p join d using (rid) cross join total join one on one.x = p.x join own1 on own1.rid = p.rid and own1.x = p.x
-  left join two on two.v = p.v and two.x = p.x left join own2 on own2.rid = p.rid and own2.v = p.v and own2.x = p.x
-  left join one vone on vone.x = p.v left join own1 vown on vown.rid = p.rid and vown.x = p.v),
-sums as (
-  select rid, sum(case when both_ > 0 then ln(both_::double / context) else (case when v is null then 0 else ln({BACKOFF}::double) end) + (case when single > 0 then ln(single::double / rest) else -ln(rest + 1.0::double) end) end) s
-  from terms group by rid)
+p as (select rid, i, x, lag(x) over a v, lag(x, 2) over a u from t window a as (partition by rid order by i)),
+c as (select *,
+  count(*) over (partition by x) - count(*) over (partition by rid, x) c1,
+  count(*) over (partition by v, x) - count(*) over (partition by rid, v, x) c2,
+  count(*) over (partition by u, v, x) - count(*) over (partition by rid, u, v, x) c3 from p),
+b as (select *, lag(c1) over a b1, lag(c2) over a b2 from c window a as (partition by rid order by i)),
+s1 as (select b.*, case when c1 > 0 then ln(c1::double) - ln((n - len(w))::double) else -ln((n - len(w) + 1)::double) end s from b join d using (rid) cross join total),
+s2 as (select * exclude (s), case when v is null then s when c2 > 0 and b1 > 0 then ln(c2::double) - ln(b1::double) else ln({BACKOFF}::double) + s end s from s1),
+s3 as (select * exclude (s), case when u is null then s when c3 > 0 and b2 > 0 then ln(c3::double) - ln(b2::double) else ln({BACKOFF}::double) + s end s from s2),
+sums as (select rid, sum(s) s from s3 group by rid)
 select doc_id, len(w)::bigint n_words, round(coalesce(s, 0), 3) log_score, round(s / nullif(len(w), 0), 6) mean_log_score from d left join sums using (rid)
 """

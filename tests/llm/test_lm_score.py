@@ -13,42 +13,39 @@ from strandline.llm import lm_score as lm
 from .test_winnowing import words
 
 
-def brute(docs, backoff=0.4):
+def brute(docs, backoff=0.4, order=3):
     ws = [words(t) for _, t in docs]
-    one, two = Counter(), Counter()
-    for w in ws:
-        one.update(w)
-        two.update(zip(w, w[1:], strict=False))
+    grams = lambda w, n: Counter(zip(*(w[i:] for i in range(n)), strict=False))
+    counts = {n: sum((grams(w, n) for w in ws), Counter()) for n in range(1, order + 1)}
     total, out = sum(map(len, ws)), []
     for (i, _), w in zip(docs, ws, strict=True):
-        own1, own2, n, s = Counter(w), Counter(zip(w, w[1:], strict=False)), total - len(w), 0.0
-        for k, x in enumerate(w):
-            c = one[x] - own1[x]
-            single = math.log(c / n) if c else math.log(1 / (n + 1))
-            if k:
-                pair = (w[k - 1], x)
-                both = two[pair] - own2[pair]
-                s += math.log(both / (one[w[k - 1]] - own1[w[k - 1]])) if both else math.log(backoff) + single
-            else:
-                s += single
+        own, rest = {n: grams(w, n) for n in counts}, total - len(w)
+        c = lambda g: counts[len(g)][g] - own[len(g)][g]
+
+        def score(g):
+            if len(g) == 1:
+                return math.log(c(g) / rest) if c(g) else math.log(1 / (rest + 1))
+            return math.log(c(g) / c(g[:-1])) if c(g) else math.log(backoff) + score(g[1:])
+
+        s = sum(score(tuple(w[max(0, k - order + 1) : k + 1])) for k in range(len(w)))
         out.append((i, len(w), s))
     return sorted(out, key=repr)
 
 
-def check(df, docs):
-    got = sorted(((r["doc_id"], r["n_words"], r["log_score"], r["mean_log_score"]) for r in lm.lm_scores(df).collect()), key=repr)
+def check(df, docs, **how):
+    got = sorted(((r["doc_id"], r["n_words"], r["log_score"], r["mean_log_score"]) for r in lm.lm_scores(df, **how).collect()), key=repr)
     for (i, n, s, mean), (j, m, t) in zip(got, sorted(brute(docs), key=lambda r: repr((r[0], r[1], r[2]))), strict=True):
         assert (i, n) == (j, m)
         assert s == pytest.approx(t, rel=1e-9, abs=1e-9)
         assert mean == (pytest.approx(t / n) if n else None)
 
 
-def test_against_brute_force(spark, odd_rows, monkeypatch):
-    monkeypatch.setattr(lm, "BUCKET_BYTES", 3000)
+@pytest.mark.parametrize("how", [{}, {"block_bytes": 30_000, "fan_bits": 2, "gather": (3, 2)}])
+def test_against_brute_force(spark, odd_rows, how):
     rng = random.Random(1)
     docs = [(100 + i, " ".join(f"w{min(rng.randrange(60), rng.randrange(60))}" for _ in range(rng.randrange(0, 80)))) for i in range(200)] + [(r[0], r[1]) for r in odd_rows]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("words", F.lit("mine")).withColumn("block", F.lit("mine")).repartition(5)
-    check(df, docs)
+    check(df, docs, **how)
 
 
 def test_one_document_and_none(spark, none):
@@ -63,5 +60,18 @@ def test_round_trip_of_planes():
     assert len(lm.unpack_sorted(lm.pack_sorted(keys[:0]))) == 0
     numbers = rng.integers(0, 1 << 32, 500)
     assert (lm.unpack_numbers(lm.pack_numbers(numbers)) == numbers).all()
-    bucket = lm._bucket(keys, 7)
-    assert (np.diff(bucket.astype(int)) >= 0).all() and bucket.max() == 6
+    assert lm.unpack_numbers(lm.pack_numbers(np.array([1 << 40, 0, 3]))).tolist() == [1 << 40, 0, 3]
+
+
+def test_rows_stay_in_proportion(spark):
+    """A block gives 2 ** bits rows a level at most, however many blocks there are."""
+    rng = random.Random(2)
+    rows = lambda n: [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(120))) for i in range(n)]
+
+    def pieces(n):
+        df = spark.createDataFrame(rows(n), "doc_id long, text string").coalesce(1)
+        blocks = lm._blocks(df, 4000)
+        return blocks.count(), lm.exploded(blocks, 3, 4).count()
+
+    (b1, r1), (b2, r2) = pieces(60), pieces(600)
+    assert r1 <= 16 * b1 and r2 <= 16 * b2 and b2 >= 8 * b1
