@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import location_path
+from .operators.language import NaiveBayes
 from .operators.vectors import HashingEmbedder, StaticEmbedder
 from .plans.service import TOP, SearchService
 from .plans.snapshot import SHARDS, Store, build, to_records
@@ -41,6 +42,21 @@ def embedder_of(args):
     return StaticEmbedder(args.vocabulary, args.matrix) if args.vocabulary else HashingEmbedder()
 
 
+def language_of(args, spark: SparkSession):
+    """The stored language model that is named, or None: then every passage is ``und``."""
+    return NaiveBayes.load(spark, args.language_model) if args.language_model else None
+
+
+def train_language_command(args) -> int:
+    """Learn languages from a Parquet table of labelled texts and store the model."""
+    spark = session()
+    labelled = spark.read.parquet(args.table).select(F.monotonically_increasing_id().alias("id"), F.col(args.text).alias("text"), F.col(args.label).alias("language"))
+    model = NaiveBayes(labelled.where("text is not null and language is not null").cache())
+    model.save(args.out)
+    print(f"Learned {NaiveBayes.load(spark, args.out).languages.count()} languages.")
+    return 0
+
+
 def sidecar(index: str) -> Path:
     return Path(index.removeprefix("file://").rstrip("/") + ".srv")
 
@@ -57,7 +73,7 @@ def index_command(args) -> int:
     if args.git:
         passages = passages.unionByName(scan_commits(spark, args.git, args.max_commits))
     store = Store(spark, args.out)
-    store.save(build(to_records(passages).cache(), embedder_of(args), shards=args.shards), args.shards)
+    store.save(build(to_records(passages, language_of(args, spark)).cache(), embedder_of(args), shards=args.shards), args.shards)
     print(f"Indexed {store.load().count()} passages.")
     return 0
 
@@ -77,12 +93,9 @@ def ask(index: str, request: dict) -> dict | None:
 
 
 def search_command(args) -> int:
-    warm = ask(args.index, {"query": args.query, "top": args.top, "language": args.lang, "source": args.source})
+    warm = ask(args.index, {"command": "console", "query": args.query, "top": args.top, "language": args.lang, "source": args.source})
     if warm and not warm.get("error"):
-        for r in warm["results"]:
-            print(f"{r['score']:6.3f}  [{r['language']}]  {r['source']}:{r['location']}\n        {r['title'][:90]}\n        {' '.join(r['text'].split())[:90]}")
-        if not warm["results"]:
-            print("No matches.")
+        print(warm["console"])
         return 0
     spark = session()
     print(SearchService(spark, Store(spark, args.index).load(), embedder_of(args)).console(args.query, top=args.top, language=args.lang, source=args.source))
@@ -94,9 +107,9 @@ class Service:
 
     def __init__(self, args):
         self.spark = spark = session()
-        self.store, self.embedder = Store(spark, args.index), embedder_of(args)
+        self.store, self.embedder, language = Store(spark, args.index), embedder_of(args), language_of(args, spark)
         if not self.store.exists():
-            self.store.save(build(to_records(scan_directory(spark, args.files)), self.embedder, shards=SHARDS), SHARDS)
+            self.store.save(build(to_records(scan_directory(spark, args.files), language), self.embedder, shards=SHARDS), SHARDS)
         root = args.files
 
         def passages_of(paths):
@@ -107,7 +120,7 @@ class Service:
             named = [r["path"] for r in paths.distinct().collect()]
             return spark.createDataFrame([(p,) for p in git_ignored(root, named)], "path string")
 
-        self.live = LiveIndex(self.store, passages_of, self.embedder, ignored=ignored)
+        self.live = LiveIndex(self.store, passages_of, self.embedder, language, ignored=ignored)
         self.query = None
         if args.changes:
             self.query = self.live.start(change_feed(spark, args.changes), args.index.rstrip("/") + ".checkpoint", args.debounce)
@@ -245,8 +258,14 @@ def parser() -> argparse.ArgumentParser:
         if model:
             c.add_argument("--vocabulary", default=None)
             c.add_argument("--matrix", default=None)
+            c.add_argument("--language-model", default=None)
         return c
 
+    c = command("train-language", train_language_command, model=False)
+    c.add_argument("--table", required=True)
+    c.add_argument("--text", default="text")
+    c.add_argument("--label", default="lang")
+    c.add_argument("--out", required=True)
     c = command("index", index_command)
     c.add_argument("--files")
     c.add_argument("--git")

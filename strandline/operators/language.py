@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -26,6 +26,17 @@ class NaiveBayes:
         # a row a language
         self.languages = priors.join(totals, "language").crossJoin(F.broadcast(vocabulary)).crossJoin(F.broadcast(n)).select("language", F.log(F.col("docs") / F.col("n")).alias("prior"), F.log((F.col("tokens") + F.col("v")).cast("double")).alias("floor"))
 
+    def save(self, path: str) -> None:
+        """Store the model, so that its counts are made once."""
+        self.counts.write.mode("overwrite").parquet(f"{path}/counts")
+        self.languages.write.mode("overwrite").parquet(f"{path}/languages")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> NaiveBayes:
+        model = cls.__new__(cls)
+        model.counts, model.languages = (spark.read.parquet(f"{path}/{name}") for name in ("counts", "languages"))
+        return model
+
     def predict(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """(id, language): the most probable, ties to the smaller name; ``und`` with no token.
 

@@ -48,6 +48,9 @@ class SearchService:
             if asked.get("command") == "stop":
                 return json.dumps({"error": None, "stopped": True, "results": []})
             top = clamp(int(asked.get("top", TOP)), 1, TOP_MOST)
+            if asked.get("command") == "console":  # the lines that a search without a service prints
+                shown = self.console(asked.get("query") or "", top=top, language=asked.get("language"), source=asked.get("source"))
+                return json.dumps({"error": None, "stopped": False, "console": shown})
             found = self.search(asked.get("query") or "", top, asked.get("language"), asked.get("source")).select(result_json().alias("r")).collect()
             return json.dumps({"error": None, "stopped": False, "results": [json.loads(r["r"]) for r in found]})
         except (ValueError, TypeError, AttributeError) as e:

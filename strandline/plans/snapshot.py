@@ -15,6 +15,7 @@ from ..operators import lexical
 from ..operators.vectors import Embedder, HashingEmbedder, embed
 from ..schemas import LENGTHS, POSTING, RECORD, VECTOR
 
+VERSIONS_KEPT = 5  # a reader of an older version must open the store again
 SHARDS = 8
 TABLES = {"records": RECORD, "body_postings": POSTING, "path_postings": POSTING, "body_lengths": LENGTHS, "path_lengths": LENGTHS, "vectors": VECTOR}
 SORTED_BY = {"records": "id", "body_postings": "term", "path_postings": "term", "body_lengths": "id", "path_lengths": "id", "vectors": "id"}
@@ -135,6 +136,18 @@ class Store:
     def _commit(self, about: dict) -> None:
         self._write(f"manifest-{about['version']}.json", json.dumps(about))
         self._write("CURRENT", str(about["version"]))
+        self._retire()
+
+    def _retire(self) -> None:
+        """Delete versions before the last VERSIONS_KEPT, and the folders that only they have."""
+        files = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
+        versions = sorted(int(f[9:-5]) for f in files if f.startswith("manifest-") and f.endswith(".json"))
+        folders = lambda v: {place for places in json.loads(self._read(f"manifest-{v}.json"))["tables"].values() for place in places.values()}
+        held = {f for v in versions[-VERSIONS_KEPT:] for f in folders(v)}
+        for v in versions[:-VERSIONS_KEPT]:
+            for place in folders(v) - held:
+                self._fs.delete(self._path(f"{self.root}/{place}"), True)
+            self._fs.delete(self._path(f"{self.root}/manifest-{v}.json"), False)
 
     def _put(self, index: Index, version: int, shards: int) -> dict[str, dict[str, str]]:
         """Write the tables, a folder per shard: sorted, so that parquet statistics find a term."""

@@ -96,7 +96,9 @@ def scan_directory(spark: SparkSession, root: str) -> DataFrame:
     if local and not os.path.isdir(root):
         raise FileNotFoundError(root)
     root = os.path.realpath(root) if local else root
-    listed = (git_listing(root) or walked(root)) if local else None
+    listed = git_listing(root) if local else None
+    if local and listed is None:  # a work tree where all is ignored lists nothing, which is not the same
+        listed = walked(root)
     if listed is not None:
         keep = [p for p in listed if p.rpartition(".")[2].lower() in EXTENSIONS and "." in os.path.basename(p) and os.path.isfile(f"{root}/{p}")]
         keep = [p for p in keep if not any(s.lower() in SKIPPED for s in p.split("/")[:-1])]

@@ -70,3 +70,36 @@ def test_installers(tmp_path):
     assert set(kept["servers"]) == {"mine", "strandline"} and kept["other"] == 1
     assert cli.main(["install-skill", "--repository", str(tmp_path)]) == 0
     assert (tmp_path / ".github" / "skills" / "strandline" / "SKILL.md").exists()
+
+
+def test_languages_of_an_index(spark, tmp_path, capsys):
+    rows = [("the cat and the dog are here with the others", "en"), ("this is the house of the man", "en"), ("le chat et le chien sont ici avec les autres", "fr"), ("voici la maison de monsieur", "fr")]
+    spark.createDataFrame(rows, "text string, lang string").write.parquet(f"{tmp_path}/labelled")
+    assert cli.main(["train-language", "--table", f"{tmp_path}/labelled", "--out", f"{tmp_path}/model"]) == 0
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.md").write_text("the tomato is in the house\n")
+    (tmp_path / "src" / "b.md").write_text("la tomato est dans la maison\n")
+    out = f"{tmp_path}/index"
+    assert cli.main(["index", "--files", str(tmp_path / "src"), "--out", out, "--shards", "2", "--language-model", f"{tmp_path}/model"]) == 0
+    capsys.readouterr()
+    for lang, place in (("en", "a.md"), ("fr", "b.md")):
+        assert cli.main(["search", "tomato", "--index", out, "--lang", lang]) == 0
+        said = capsys.readouterr().out
+        assert f"[{lang}]  file:{place}" in said and said.count("file:") == 1
+
+
+def test_warm_and_cold_searches_print_the_same(spark, tmp_path, capsys):
+    import threading
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.md").write_text("tomato sauce " * 30 + "\n")
+    index = f"{tmp_path}/index"
+    service = cli.Service(cli.parser().parse_args(["serve", "--files", str(tmp_path / "src"), "--index", index]))
+    assert cli.main(["search", "tomato", "--index", index]) == 0
+    cold = capsys.readouterr().out
+    server = service.listen(index)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    assert cli.main(["search", "tomato", "--index", index]) == 0
+    assert capsys.readouterr().out == cold and "…" in cold
+    server.shutdown()
+    service.close(index)

@@ -127,6 +127,19 @@ def test_rendering(spark, index):
     assert SearchService(spark, empty).console("anything") == "No matches."
 
 
+def test_old_versions_go(spark, tmp_path, monkeypatch):
+    from strandline.plans import snapshot
+    from strandline.plans.snapshot import Store, build, to_records
+
+    rows = spark.createDataFrame([("file", f"a{i}.md:1-1", "a", f"word{i} tomato") for i in range(6)], "source string, location string, title string, text string")
+    monkeypatch.setattr(snapshot, "VERSIONS_KEPT", 2)
+    store = Store(spark, f"file://{tmp_path}/kept")
+    for _ in range(3):
+        store.save(build(to_records(rows)), 2)
+    assert sorted(p.name for p in (tmp_path / "kept").glob("manifest-*.json")) == ["manifest-2.json", "manifest-3.json"]
+    assert store.load().count() == 6
+
+
 def test_save_load_add_remove(spark, index, tmp_path):
     store = Store(spark, f"file://{tmp_path}/index")
     assert not store.exists()

@@ -125,3 +125,15 @@ def test_ignored_files_leave_with_the_next_burst(spark, tree, tmp_path):
     assert live.file_count() == 4
     live.apply(change((2, "none.md", "Delete")))
     assert live.file_count() == 3
+
+
+def test_a_work_tree_where_all_is_ignored(spark, tmp_path):
+    import subprocess
+
+    subprocess.run(["git", "init", "-q", str(tmp_path)], check=True)
+    (tmp_path / ".git" / "info").mkdir(exist_ok=True)
+    (tmp_path / ".git" / "info" / "exclude").write_text("*\n")
+    (tmp_path / "a.md").write_text("secret words\n")
+    from strandline.sources.files import scan_directory
+
+    assert scan_directory(spark, str(tmp_path)).count() == 0
