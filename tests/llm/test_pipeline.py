@@ -66,5 +66,18 @@ def test_run_is_the_stages(spark):
     assert QUERIES["pipeline"](spark, SF).count() > 100
 
 
+def test_odd_input_through_all_stages(spark, odd, none):
+    """Nulls, empty and long texts, repeated rows, extra columns with clashing names, empty tables."""
+    names = ["secrets", "contamination", "language", "fp", "tokens"]
+    docs = odd.selectExpr("*", *[f"'mine' as {n}" for n in names])
+    for _, step in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(step(spark, docs, SF).collect(), docs.schema)
+        rows = docs.collect()
+        assert rows and all(r[n] == "mine" for r in rows for n in names)
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()} == {r["doc_id"] for r in docs.collect()}
+    for _, step in corpus_pipeline.STAGES:
+        assert step(spark, none, SF).collect() == []
+
+
 def test_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
