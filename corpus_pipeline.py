@@ -1,4 +1,9 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Defined cases of all stages: null, empty and very long texts, null ids, repeated rows, empty tables
+and columns with clashing names are taken as the stage's operator states; all columns of the
+documents stay as they are but for those a stage is there to change.
+"""
 
 from __future__ import annotations
 
@@ -9,27 +14,33 @@ from strandline.llm.common import stage
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; those without a letter, or with unsure windows, go."""
+    """Documents with a language; null, empty and letterless texts, and those with unsure windows, go.
+
+    Without any label to learn from every document stays.
+    """
     return language.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest id."""
+    """One document of each group of near-duplicates: the smallest id.
+
+    Equal rows count as one; null and empty texts are copies of one another; null ids stay.
+    """
     return simhash.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
+    """Documents that the benchmark does not contaminate; an empty benchmark contaminates none."""
     return winnowing.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def scrub_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets in their texts replaced by a mark."""
+    """All documents, with secrets in their texts replaced by a mark; null texts stay null."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents, packed in sequences: a row per piece."""
+    """Token ids of all documents, packed in sequences: a row per piece; an empty text is one end id."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
