@@ -19,12 +19,13 @@ from .functions.text import location_path
 from .operators.language import NaiveBayes
 from .operators.vectors import HashingEmbedder, StaticEmbedder
 from .plans.service import TOP, SearchService
-from .plans.snapshot import SHARDS, Store, build, to_records
+from .plans.snapshot import Store, build, shards_for, to_records
 from .schemas import CHANGE, PASSAGE
 from .shipping import ship
 from .sources.files import git_ignored, scan_directory, scan_paths
 from .sources.git import scan_commits
 from .streaming.live import DEBOUNCE_MS, LiveIndex, change_feed
+from .streaming.watch import FolderWatcher
 
 CONNECT_S, READ_S = 1, 60
 
@@ -64,7 +65,7 @@ def sidecar(index: str) -> Path:
 def index_command(args) -> int:
     if not args.files and not args.git:
         raise ValueError("give --files, --git or both")
-    if args.shards < 1 or args.max_commits < 1:
+    if (args.shards is not None and args.shards < 1) or args.max_commits < 1:
         raise ValueError("--shards and --max-commits must be positive")
     spark = session()
     passages = spark.createDataFrame([], PASSAGE)
@@ -73,7 +74,9 @@ def index_command(args) -> int:
     if args.git:
         passages = passages.unionByName(scan_commits(spark, args.git, args.max_commits))
     store = Store(spark, args.out)
-    store.save(build(to_records(passages, language_of(args, spark)).cache(), embedder_of(args), shards=args.shards), args.shards)
+    records = to_records(passages, language_of(args, spark)).cache()
+    shards = args.shards or shards_for(records.count())
+    store.save(build(records, embedder_of(args), shards=shards), shards)
     print(f"Indexed {store.load().count()} passages.")
     return 0
 
@@ -108,9 +111,16 @@ class Service:
     def __init__(self, args):
         self.spark = spark = session()
         self.store, self.embedder, language = Store(spark, args.index), embedder_of(args), language_of(args, spark)
+        root, place = args.files, args.index.rstrip("/")
+        feed = args.changes or (place + ".changes" if args.watch else None)
+        watcher = FolderWatcher(spark, root, feed, place + ".listing") if args.watch else None
         if not self.store.exists():
-            self.store.save(build(to_records(scan_directory(spark, args.files), language), self.embedder, shards=SHARDS), SHARDS)
-        root = args.files
+            if watcher:  # listed before it is read, so that what changes meanwhile is seen later
+                watcher.baseline()
+            records = to_records(scan_directory(spark, root), language).cache()
+            shards = shards_for(records.count())
+            self.store.save(build(records, self.embedder, shards=shards), shards)
+            records.unpersist()
 
         def passages_of(paths):
             # a burst's paths, which the driver must list anyway to ask git
@@ -121,9 +131,20 @@ class Service:
             return spark.createDataFrame([(p,) for p in git_ignored(root, named)], "path string")
 
         self.live = LiveIndex(self.store, passages_of, self.embedder, language, ignored=ignored)
-        self.query = None
-        if args.changes:
-            self.query = self.live.start(change_feed(spark, args.changes), args.index.rstrip("/") + ".checkpoint", args.debounce)
+        self.query, self.closing, self.watching = None, threading.Event(), None
+        if feed:
+            self.query = self.live.start(change_feed(spark, feed), place + ".checkpoint", args.debounce)
+        if watcher:
+            self.watching = threading.Thread(target=self.watch, args=(watcher, args.watch / 1000), daemon=True)
+            self.watching.start()
+
+    def watch(self, watcher: FolderWatcher, seconds: float) -> None:
+        """Poll until the service closes; a poll that fails is said and tried again."""
+        while not self.closing.wait(seconds):
+            try:
+                watcher.poll()
+            except Exception as e:  # noqa: BLE001 - a listing may fail for a while
+                print(f"watch: {e}", file=sys.stderr)
 
     def respond(self, request: str) -> str:
         return SearchService(self.spark, self.live.index(), self.embedder).respond(request)
@@ -153,6 +174,9 @@ class Service:
         return server
 
     def close(self, index: str) -> None:
+        self.closing.set()
+        if self.watching:
+            self.watching.join()
         if self.query:
             self.query.processAllAvailable()
             self.query.stop()
@@ -271,7 +295,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--git")
     c.add_argument("--max-commits", type=int, default=500)
     c.add_argument("--out", required=True)
-    c.add_argument("--shards", type=int, default=SHARDS)
+    c.add_argument("--shards", type=int, help="by the number of passages, if not given")
     c = command("search", search_command)
     c.add_argument("query")
     c.add_argument("--index", required=True)
@@ -283,6 +307,7 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--files", required=True)
         c.add_argument("--index", required=True)
         c.add_argument("--changes", help="folder in which JSON change lines land: " + ", ".join(CHANGE.names))
+        c.add_argument("--watch", type=int, default=0, help="list the files every so many milliseconds and apply what changed")
         c.add_argument("--debounce", type=int, default=DEBOUNCE_MS)
     command("stop", stop_command, False).add_argument("--index", required=True)
     c = command("install-mcp", install_mcp_command, False)

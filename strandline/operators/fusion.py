@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import POOL_FACTOR, POOL_LEAST, POOL_MOST, RANK_DIGITS, WEIGHTS, rrf_weight
 from ..functions.text import clamp, token_array
 from .lexical import QueryTerms, bm25_top, ranked
-from .vectors import FEW_QUERIES, cosine_top, cosine_top_of
+from .vectors import FEW_QUERIES
 
 BROADCAST_ROWS = 300_000  # candidates that are broadcast, at most
 
@@ -40,7 +40,7 @@ def hybrid_top(queries: DataFrame, index, top: int = 5, language: str | None = N
     """The ``top`` records of each query (query_id, text, and vector unless ``embedder`` makes
     it): record columns, score, rank.
 
-    ``index`` has records, body and path (postings and lengths) and vectors. The vector list is
+    ``index`` has records, body and path (postings and lengths) and a vector index. The vector list is
     filtered before its top-k; body and path lists are cut to the pool unfiltered, and what does
     not match leaves after fusion, its ranks unfilled. Only ids and scores move until the fused
     candidates, at most three pools a query, fetch their records.
@@ -60,9 +60,9 @@ def hybrid_top(queries: DataFrame, index, top: int = 5, language: str | None = N
         for r in asked if local else []:
             r["vector"] = embedder.of_tokens(r["tokens"])
         terms = QueryTerms(queries, known=[(r["query_id"], t) for r in asked for t in dict.fromkeys(r["tokens"])])
-        nearest = cosine_top_of([r for r in asked if r["vector"] is not None], queries, index.vectors, pool, allowed)
+        nearest = index.vector_index.top(queries, pool, allowed, [r for r in asked if r["vector"] is not None])
     else:
-        terms, nearest = QueryTerms(queries), cosine_top(queries, index.vectors, pool, allowed)
+        terms, nearest = QueryTerms(queries), index.vector_index.top(queries, pool, allowed)
     fused = fuse({
         "vector": nearest,
         "body": bm25_top(terms, index.body_postings, index.stats("body"), pool),

@@ -156,6 +156,28 @@ def cosine_top_of(asked, queries: DataFrame, vectors: DataFrame, k: int, allowed
     return ranked(found, k, [F.desc(F.round("score", RANK_DIGITS)), F.asc("id")])
 
 
+class VectorIndex(Protocol):
+    """A vector search plug-in: the ``k`` nearest of each query as query_id, id, score, rank.
+
+    ``queries`` has query_id and vector; ``asked`` is the same as rows, where a search holds them
+    already. ``allowed`` (id) is a filter before the cut to ``k``.
+    """
+
+    def top(self, queries: DataFrame, k: int, allowed: DataFrame | None = None, asked: list | None = None) -> DataFrame: ...
+
+
+class ExactVectors:
+    """The `VectorIndex` that compares every vector (id, embedding)."""
+
+    def __init__(self, vectors: DataFrame | None):
+        self.vectors = vectors
+
+    def top(self, queries: DataFrame, k: int, allowed: DataFrame | None = None, asked: list | None = None) -> DataFrame:
+        if asked is None:
+            return cosine_top(queries, self.vectors, k, allowed)
+        return cosine_top_of(asked, queries, self.vectors, k, allowed)
+
+
 def _query_blocks(asked):
     names, rows, size = [], [], 0
     for r in asked:

@@ -13,31 +13,17 @@ from ..sources import tables
 from ..sources.files import EXTENSIONS, SKIPPED, in_skipped, is_text
 from ..sources.git import FIELD, RECORD, parse_log
 from . import oracles as sql
+from . import stored  # noqa: F401 - registers its queries
+from .registry import ORACLES, QUERIES, query  # noqa: F401
+from .registry import table as _table
 from .snapshot import Index
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
 TEXT_QUERY = "the tion and doc12 src3 onand"
 URL_QUERY = "example blog en tionsh 25"
 VECTOR_ID = 7
 TOP = 10
 
 
-def query(oracle: str | None = None):
-    def keep(fn):
-        QUERIES[fn.__name__] = fn
-        if oracle:
-            ORACLES[fn.__name__] = oracle
-        return fn
-
-    return keep
-
-
-def _table(spark, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _docs(spark, sf_dir: str) -> DataFrame:
     return lexical.by_document(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"))
 
@@ -215,15 +201,28 @@ def dedupe_text_for_embedding(spark, sf_dir):
     return vectors.distinct_texts(_table(spark, sf_dir, "documents").select("text")).select(F.md5(F.col("text").cast("binary")).alias("digest"), "copies")
 
 
-@query(f"""with src as (select item_id id, text t from benchmark), {sql.tokens("src")},
+def _hash_sql(name: str, key: str) -> str:
+    return f"""with src as (select {key} id, text t from {name}), {sql.tokens("src")},
 h as (select id, md5(term) m from tok),
 b as (select id, ('0x' || substr(m, 1, 4))::int % 64 bucket, sum(case when ('0x' || substr(m, 5, 2))::int % 2 = 0 then 1.0::double else -1.0::double end) v from h group by all),
 n as (select id, sqrt(sum(v * v)) size from b group by id)
-select id item_id, bucket, round((v / size)::float::double, 6) value from b join n using (id) where v <> 0 and size > 0""")
+select id {key}, bucket, round((v / size)::float::double, 6) value from b join n using (id) where v <> 0 and size > 0"""
+
+
+def _hashed(spark, sf_dir, name: str, key: str) -> DataFrame:
+    docs = _table(spark, sf_dir, name).select(F.col(key).alias("id"), "text")
+    rows = vectors.embed(docs, vectors.HashingEmbedder()).select(F.col("id").alias(key), F.posexplode("embedding").alias("bucket", "value"))
+    return rows.where("value <> 0").select(key, "bucket", F.round(F.col("value").cast("double"), SHOWN_DIGITS).alias("value"))
+
+
+@query(_hash_sql("benchmark", "item_id"))
 def hash_embedding(spark, sf_dir):
-    docs = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
-    rows = vectors.embed(docs, vectors.HashingEmbedder()).select(F.col("id").alias("item_id"), F.posexplode("embedding").alias("bucket", "value"))
-    return rows.where("value <> 0").select("item_id", "bucket", F.round(F.col("value").cast("double"), SHOWN_DIGITS).alias("value"))
+    return _hashed(spark, sf_dir, "benchmark", "item_id")
+
+
+@query(_hash_sql("documents", "doc_id"))
+def document_embedding(spark, sf_dir):
+    return _hashed(spark, sf_dir, "documents", "doc_id")
 
 
 # --- hybrid search
@@ -318,21 +317,6 @@ def hash_shard_counts(spark, sf_dir):
     return docs.groupBy(tx.shard_of("doc_id", 8).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""with train as (select doc_id id, text t, lang from documents where doc_id % 2 = 0), test as (select doc_id id, text t from documents where doc_id % 2 = 1),
-{sql.postings("train", "a")}, {sql.postings("test", "b")},
-c as (select lang, term, sum(tf) c from a_tf join train using (id) group by all),
-l as (select lang, ln(docs::double / sum(docs) over ()) prior, ln((tokens + (select count(distinct term) from c))::double) floor
-  from (select lang, count(*) docs from train group by lang) join (select lang, sum(c) tokens from c group by lang) using (lang)),
-k as (select id, lang, sum(tf * ln(c + 1.0::double)) s from b_tf join c using (term) group by all),
-s as (select d.id, l.lang, prior + coalesce(s, 0) - dl * floor score from b_dl d cross join l left join k on k.id = d.id and k.lang = l.lang where dl > 0),
-best as (select id, lang from (select *, row_number() over (partition by id order by round(score, 9) desc, lang) n from s) where n = 1)
-select test.id doc_id, coalesce(lang, 'und') as language from test left join best using (id)""")
-def language_id_nb(spark, sf_dir):
-    docs = lexical.by_document(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("language")))
-    model = language.NaiveBayes(docs.where("id % 2 = 0"))
-    return model.predict(docs.where("id % 2 = 1").select("id", "text")).withColumnRenamed("id", "doc_id")
-
-
 @query(f"""with train as (select doc_id id, text t, lang from documents where lang is not null), test as (select doc_id id, text t from documents),
 {sql.postings("train", "a")}, {sql.postings("test", "b")},
 c as (select lang, term, sum(tf) c from a_tf join train using (id) group by all),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import body_text, one_line, path_text, shard_of
 from ..operators import lexical
-from ..operators.vectors import Embedder, HashingEmbedder, embed
+from ..operators.vectors import Embedder, ExactVectors, HashingEmbedder, VectorIndex, embed
 from ..schemas import LENGTHS, POSTING, RECORD, VECTOR
 
 VERSIONS_KEPT = 5  # a reader of an older version must open the store again
@@ -21,6 +22,11 @@ TABLES = {"records": RECORD, "body_postings": POSTING, "path_postings": POSTING,
 SORTED_BY = {"records": "id", "body_postings": "term", "path_postings": "term", "body_lengths": "id", "path_lengths": "id", "vectors": "id"}
 
 
+def shards_for(records: int) -> int:
+    """Shards of a store of so many records: about a quarter of a million a shard."""
+    return max(SHARDS, math.ceil(records / 250_000))
+
+
 class ReadOnlyError(RuntimeError):
     """A read-only index was asked to change."""
 
@@ -28,10 +34,12 @@ class ReadOnlyError(RuntimeError):
 class Index:
     """Six tables: records, postings and lengths for body and path, vectors."""
 
-    def __init__(self, tables: dict[str, DataFrame], read_only: bool = False, shards: int | None = None, stats: dict[str, tuple[int, int]] | None = None):
+    def __init__(self, tables: dict[str, DataFrame], read_only: bool = False, shards: int | None = None, stats: dict[str, tuple[int, int]] | None = None, vector_index: VectorIndex | None = None):
         """``shards``: the tables have a column shard, of so many, and are partitioned by it.
-        ``stats``: what `stats` would compute, if it is known."""
+        ``stats``: what `stats` would compute, if it is known. ``vector_index`` answers vector
+        searches; without it the table of vectors is searched exactly."""
         self.tables, self.read_only, self.shards, self._stats = tables, read_only, shards, dict(stats or {})
+        self.vector_index = vector_index or ExactVectors(tables.get("vectors"))
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -218,6 +226,13 @@ class Store:
         self._commit(about)
         return version
 
+    def late(self) -> list[str]:
+        """Paths that the next burst deletes; kept here, so that a restart does not lose them."""
+        return json.loads(self._read("late.json")) if self._fs.exists(self._path(f"{self.root}/late.json")) else []
+
+    def put_late(self, paths: list[str]) -> None:
+        self._write("late.json", json.dumps(paths))
+
     def add(self, records: DataFrame, embedder: Embedder | None = None) -> int:
         return self.apply(None, build(records, embedder))
 

@@ -70,6 +70,12 @@ def split_files(files: DataFrame) -> DataFrame:
     return spans.select(F.lit("file").alias("source"), location.alias("location"), name.alias("title"), F.col("p.text").alias("text"))
 
 
+def _whole(spark: SparkSession, root: str) -> str:
+    """``root`` in the file system's own form, which the paths of rows have."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def _read(spark: SparkSession, root: str, paths: list[str] | None) -> DataFrame:
     """(path, text) of files below root; with ``paths``, of those alone. Spark reads the bytes."""
     reader = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
@@ -77,11 +83,42 @@ def _read(spark: SparkSession, root: str, paths: list[str] | None) -> DataFrame:
         files = reader.option("recursiveFileLookup", "true").load(root)
     else:
         files = reader.load([f"{root}/{p}" for p in paths])
-    # rows carry the file system's own form of a path, so the root takes it too
-    place = spark._jvm.org.apache.hadoop.fs.Path(root)
-    whole = place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "")
-    return files.select(relative_path("path", whole).alias("path"), text.alias("text"))
+    return files.select(relative_path("path", _whole(spark, root)).alias("path"), text.alias("text"))
+
+
+def local_files(root: str) -> list[str]:
+    """The files below a local ``root`` that an index takes, relative: git's listing in a work tree."""
+    found = git_listing(root)
+    if found is None:  # a work tree where all is ignored lists nothing, which is not the same
+        found = walked(root)
+    keep = [p for p in found if p.rpartition(".")[2].lower() in EXTENSIONS and "." in os.path.basename(p) and os.path.isfile(f"{root}/{p}")]
+    return [p for p in keep if not any(s.lower() in SKIPPED for s in p.split("/")[:-1])]
+
+
+def _local_root(root: str) -> str | None:
+    """The real path of a folder that the driver itself lists; None for stores that Spark lists."""
+    if "://" in root:
+        return None
+    if not os.path.isdir(root):
+        raise FileNotFoundError(root)
+    return os.path.realpath(root)
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """(path, modified, length) of the files that `scan_directory` reads; nothing is read here."""
+    local = _local_root(root.rstrip("/"))
+    if local is not None:
+        rows = []
+        for p in local_files(local):
+            try:
+                at = os.stat(f"{local}/{p}")
+            except OSError:  # gone since it was listed
+                continue
+            rows.append((p, at.st_mtime_ns // 1000, at.st_size))
+        return spark.createDataFrame(rows, "path string, modified long, length long")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(relative_path("path", _whole(spark, root)).alias("path"), F.unix_micros("modificationTime").alias("modified"), "length").where(should_index(F.col("path")))
 
 
 def scan_directory(spark: SparkSession, root: str) -> DataFrame:
@@ -92,20 +129,11 @@ def scan_directory(spark: SparkSession, root: str) -> DataFrame:
     and an incremental build agree.
     """
     root = root.rstrip("/")
-    local = "://" not in root
-    if local and not os.path.isdir(root):
-        raise FileNotFoundError(root)
-    root = os.path.realpath(root) if local else root
-    listed = git_listing(root) if local else None
-    if local and listed is None:  # a work tree where all is ignored lists nothing, which is not the same
-        listed = walked(root)
-    if listed is not None:
-        keep = [p for p in listed if p.rpartition(".")[2].lower() in EXTENSIONS and "." in os.path.basename(p) and os.path.isfile(f"{root}/{p}")]
-        keep = [p for p in keep if not any(s.lower() in SKIPPED for s in p.split("/")[:-1])]
-        if not keep:
-            return spark.createDataFrame([], PASSAGE)
-        return split_files(_read(spark, root, keep))
-    return split_files(_read(spark, root, None).where(should_index(F.col("path"))))
+    local = _local_root(root)
+    if local is None:
+        return split_files(_read(spark, root, None).where(should_index(F.col("path"))))
+    keep = local_files(local)
+    return split_files(_read(spark, local, keep)) if keep else spark.createDataFrame([], PASSAGE)
 
 
 def scan_paths(spark: SparkSession, root: str, paths: list[str], check_ignored: bool = True) -> DataFrame:

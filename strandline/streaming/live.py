@@ -11,7 +11,7 @@ from ..functions.text import location_path
 from ..operators.changes import coalesce_changes, split_changes, without_subtrees
 from ..operators.vectors import Embedder
 from ..plans.snapshot import Index, Store, build, to_records
-from ..schemas import CHANGE
+from ..schemas import CHANGE, DELETE
 from ..sources.files import in_skipped
 
 DEBOUNCE_MS = 500
@@ -22,13 +22,12 @@ class LiveIndex:
 
     ``passages_of`` gives the passages now at some paths, from a DataFrame with column path; a
     path that has none is removed. ``ignored`` may give, after a batch, the new paths that should
-    not have been indexed; they are deleted with the next batch. The state is the store itself:
-    a record's path is in its location, so nothing else is kept.
+    not have been indexed; the store keeps them, and they are deleted with the next batch. The
+    state is the store itself: a record's path is in its location.
     """
 
     def __init__(self, store: Store, passages_of: Callable[[DataFrame], DataFrame], embedder: Embedder | None = None, language=None, ignored: Callable[[DataFrame], DataFrame] | None = None):
         self.store, self.passages_of, self.embedder, self.language, self.ignored = store, passages_of, embedder, language, ignored
-        self._late: DataFrame | None = None
 
     def index(self) -> Index:
         """The version of now; a running query keeps the one it opened."""
@@ -40,8 +39,9 @@ class LiveIndex:
     def apply(self, changes: DataFrame, batch: int | None = None) -> int:
         """Apply one burst: the last change of a path wins; a deleted path takes all below it."""
         changes = changes.select("seq", "path", "kind").where(~in_skipped(F.col("path")))
-        if self._late is not None:
-            changes, self._late = self._late.unionByName(changes), None
+        late = self.store.late()
+        if late:
+            changes = changes.sparkSession.createDataFrame([(-1, p, DELETE) for p in late], CHANGE).unionByName(changes)
         last = coalesce_changes(changes)
         upserts, deletes = split_changes(last)
         records = self.store.load().records.where("source = 'file'").select("id", location_path("location").alias("path"))
@@ -49,8 +49,9 @@ class LiveIndex:
         removed = records.join(kept, "id", "left_anti").select("id")
         added = build(to_records(self.passages_of(upserts.select("path")), self.language), self.embedder)
         version = self.store.apply(removed, added)
-        if self.ignored is not None:
-            self._late = self.ignored(upserts.select("path")).select(F.lit(-1).cast("long").alias("seq"), "path", F.lit("Delete").alias("kind"))
+        named = [r["path"] for r in self.ignored(upserts.select("path")).select("path").distinct().collect()] if self.ignored else []  # of a burst's paths
+        if named != late:
+            self.store.put_late(named)
         return version
 
     def start(self, changes: DataFrame, checkpoint: str, debounce_ms: int = DEBOUNCE_MS):

@@ -171,3 +171,23 @@ def test_naive_bayes(spark):
     model = NaiveBayes(spark.createDataFrame(rows, "id long, text string, language string"))
     asked = spark.createDataFrame([(7, "The dog and the fox"), (8, "Le chien rapide"), (9, "---")], "id long, text string")
     assert {r["id"]: r["language"] for r in model.predict(asked).collect()} == {7: "en", 8: "fr", 9: "und"}
+
+
+def test_a_vector_index_can_be_swapped(spark):
+    index = build(to_records(spark.createDataFrame(PASSAGES, PASSAGE)))
+
+    class Reversed:
+        """The least similar first: what a search then finds shows that it was asked."""
+
+        def top(self, queries, k, allowed=None, asked=None):
+            flipped = index.vectors.withColumn("embedding", F.transform("embedding", lambda x: -x))
+            return vectors.ExactVectors(flipped).top(queries, k, allowed, asked)
+
+    exact = vectors.ExactVectors(index.vectors)
+    asked = spark.createDataFrame([(0, [1.0] * 64)], "query_id long, vector array<double>")
+    order = lambda found: [r["id"] for r in found.orderBy("rank").collect()]
+    assert order(exact.top(asked, 4)) == order(exact.top(asked, 4, asked=asked.collect())) == order(vectors.cosine_top(asked, index.vectors, 4))
+    assert order(Reversed().top(asked, 4)) == order(exact.top(asked, 4))[::-1]
+    swapped = Index(index.tables, vector_index=Reversed())
+    first = lambda i: SearchService(spark, i).search("nearest neighbor vectors", 4).collect()
+    assert [r["fused"] for r in first(index)] != [r["fused"] for r in first(swapped)]

@@ -123,8 +123,37 @@ def test_ignored_files_leave_with_the_next_burst(spark, tree, tmp_path):
     change = lambda *rows: spark.createDataFrame(list(rows), "seq long, path string, kind string")
     live.apply(change((1, "skip.md", "Upsert")))
     assert live.file_count() == 4
+    assert store.late() == ["skip.md"]
+    live = LiveIndex(Store(spark, store.root), passages_of)  # a restart knows what is to go
     live.apply(change((2, "none.md", "Delete")))
-    assert live.file_count() == 3
+    assert live.file_count() == 3 and store.late() == []
+
+
+def test_folder_watcher(spark, tree, tmp_path):
+    import os
+
+    from strandline.schemas import CHANGE
+    from strandline.streaming.watch import FolderWatcher
+
+    feed, state = tmp_path / "feed", tmp_path / "listing"
+    watcher = FolderWatcher(spark, str(tree), str(feed), str(state))
+    watcher.baseline()
+    assert watcher.poll() == 0
+    (tree / "new.md").write_text("new")
+    (tree / "bin").mkdir(exist_ok=True)
+    (tree / "bin" / "skipped.md").write_text("not taken")
+    os.utime(tree / "a.md", (1, 1))
+    (tree / "sub" / "b.py").unlink()
+    again = FolderWatcher(spark, str(tree), str(feed), str(state))  # a restart goes on
+    assert again.poll() == 3 and again.poll() == 0
+    (tree / "sub" / "b.py").write_text("back")
+    assert again.poll() == 1
+    rows = spark.read.schema(CHANGE).json(str(feed)).orderBy("seq", "path").collect()
+    assert [(r["path"], r["kind"]) for r in rows] == [("a.md", "Upsert"), ("new.md", "Upsert"), ("sub/b.py", "Delete"), ("sub/b.py", "Upsert")]
+    assert rows[2]["seq"] < rows[3]["seq"]
+    # without an earlier listing all files are new, and Spark's own listing finds the same
+    fresh = FolderWatcher(spark, f"file://{tree}", str(tmp_path / "feed2"), str(tmp_path / "listing2"))
+    assert fresh.poll() == len(files.local_files(str(tree)))
 
 
 def test_a_work_tree_where_all_is_ignored(spark, tmp_path):
