@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,20 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster. Where that is unset, a local session gets a
-    temporary folder, and a cluster an error: its executors would write to disks of their own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+from ..shared import shared_dir
 
 
 def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:

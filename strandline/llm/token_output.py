@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import arrow_bytes, shared_dir, stage
+from ..shared import shared_dir
+from .common import arrow_bytes, stage
 from .tokens import word_bpe
 
 LENGTH = 2048  # ids of a sequence
