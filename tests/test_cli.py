@@ -103,3 +103,22 @@ def test_warm_and_cold_searches_print_the_same(spark, tmp_path, capsys):
     assert capsys.readouterr().out == cold and "…" in cold
     server.shutdown()
     service.close(index)
+
+
+def test_service_watches_its_folder(spark, tmp_path):
+    import time
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "a.md").write_text("alpha words")
+    index = str(tmp_path / "index")
+    service = cli.Service(cli.parser().parse_args(["serve", "--files", str(tmp_path / "src"), "--index", index, "--watch", "200", "--debounce", "100"]))
+    try:
+        (tmp_path / "src" / "b.md").write_text("beta words")
+        (tmp_path / "src" / "a.md").unlink()
+        until = time.time() + 90
+        shown = lambda: sorted(r["location"] for r in service.live.index().records.collect())
+        while shown() != ["b.md:1-1"] and time.time() < until:
+            time.sleep(0.5)
+        assert shown() == ["b.md:1-1"]
+    finally:
+        service.close(index)
