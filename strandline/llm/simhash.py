@@ -23,6 +23,7 @@ SMALL_RUN = 64  # table rows of a bucket up to which all its verified pairs are
 STEP = 4096  # rows of a block when a large bucket is searched
 ROWS_PER_PART = 500_000  # fingerprints of a shuffle partition
 HOT = 16_384  # rows of a bucket beyond which it is dealt out to several tasks
+FEW = 100_000  # narrow rows up to which a table is broadcast
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -169,8 +170,8 @@ def near_links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     # dealt out by count, as the rows are narrow and each becomes many
     keyed = prints.repartition(parts, "fp").select("fp", F.explode(F.concat(*rows)).alias("r")).select("fp", "r.k", "r.v", "r.probe")
     hot = stage(keyed.groupBy("k", "v").count().where(F.col("count") > HOT).select("k", "v", F.ceil(F.col("count") / HOT).cast("int").alias("s")), "hot-buckets")
-    few = hot.limit(100_001).count()
-    keyed = keyed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0)) if few == 0 else _sliced(keyed, F.broadcast(hot) if few <= 100_000 else hot)
+    few = hot.limit(FEW + 1).count()
+    keyed = keyed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0)) if few == 0 else _sliced(keyed, F.broadcast(hot) if few <= FEW else hot)
     keyed = keyed.repartition(parts, "k", "v", "i", "j").sortWithinPartitions("k", "v", "i", "j", "probe")
 
     def links(frames):
@@ -244,11 +245,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     source = docs.select(ident.alias("doc_id"), text.alias("text"))
     prints = stage(with_fingerprint(source, "fp").select("doc_id", "fp", F.xxhash64("text").alias("row")), "simhash")
-    found = _with_components(prints.where("doc_id is not null"), distance)
+    found = stage(_with_components(prints.where("doc_id is not null"), distance).select("doc_id", "row", "label", "component_id"), "found")
     least = found.where("doc_id = component_id")
     # an id with several texts in the component that it leads: all but the first by text go
-    shared = stage(least.groupBy("doc_id", "label").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("doc_id", "label"), "shared-ids")
-    texts = source.withColumn("row", F.xxhash64("text")).join(least.join(shared, ["doc_id", "label"]).select("doc_id", "label", "row").distinct(), ["doc_id", "row"])
+    shared = least.groupBy("doc_id", "label").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("doc_id", "label")
+    leading = stage(least.join(shared, ["doc_id", "label"]).select("doc_id", "label", "row").distinct(), "shared-ids")
+    # few such rows are sent to the texts, so that the texts are not shuffled for them
+    leading = F.broadcast(leading) if leading.limit(FEW + 1).count() <= FEW else leading
+    texts = source.withColumn("row", F.xxhash64("text")).join(leading, ["doc_id", "row"])
     first = texts.groupBy("doc_id", "label").agg(F.min_by("row", F.struct("text")).alias("first"))
     later = texts.join(first, ["doc_id", "label"]).where("row <> first").select("doc_id", "row")
     gone_id, gone_row = free_name(docs, "gone_id"), free_name(docs, "gone_row")
