@@ -136,7 +136,9 @@ def test_documents_against_brute_force(spark, odd_rows):
     assert ids.count(None) == 1
 
 
-def test_rows_that_share_an_id(spark):
+@pytest.mark.parametrize("few", [sh.FEW, 0])
+def test_rows_that_share_an_id(spark, few, monkeypatch):
+    monkeypatch.setattr(sh, "FEW", few)
     rng = random.Random(8)
     a, b, c, d = (" ".join(f"w{rng.randrange(5000)}" for _ in range(600)) for _ in range(4))
     near = lambda t: t.rsplit(" ", 1)[0] + " edited"
