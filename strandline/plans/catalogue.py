@@ -311,7 +311,7 @@ def shard_counts(spark, sf_dir):
     return docs.groupBy((F.col("doc_id") % 8).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
 
-@query()
+@query(f"select (x % 8)::int shard, count(*) n from ({sql.hashed('documents', 'doc_id')}) group by 1")
 def hash_shard_counts(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return docs.groupBy(tx.shard_of("doc_id", 8).alias("shard")).agg(F.count(F.lit(1)).alias("n"))

@@ -22,6 +22,27 @@ def postings(source: str, name: str) -> str:
 {name}_n as (select count(*) n, sum(dl)::double / count(*) avgdl from {name}_dl)"""
 
 
+def hashed(source: str, key: str) -> str:
+    """A table with column x: Spark's xxhash64 of a long column, unsigned, by the published steps for eight bytes."""
+    # fixed values: the five primes of XXH64
+    p1, p2, p3, p4, p5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+    word = 1 << 64
+
+    def times(k):  # modulo 2**64, by halves, as a product may have 128 bits
+        return f"((x & 4294967295) * {k} + (((x >> 32) * {k & 0xFFFFFFFF}) & 4294967295) * 4294967296) % {word}"
+
+    def turned(n):
+        return f"(x << {n}) % {word} + (x >> {64 - n})"
+
+    seed, nulls = 42 + p5 + 8, 42
+    steps = [times(p2), turned(31), times(p1), f"xor(x, {seed}::hugeint)", turned(27), f"({times(p1)} + {p4}) % {word}"]
+    steps += ["xor(x, x >> 33)", times(p2), "xor(x, x >> 29)", times(p3), "xor(x, x >> 32)"]
+    made = f"select ({key}::hugeint + {word}) % {word} x from {source}"
+    for step in steps:
+        made = f"select {step} x from ({made})"
+    return f"select coalesce(x, {nulls}) x from ({made})"
+
+
 def bm25(queries: str, source: str, name: str, k: int) -> str:
     """CTE {name}_top (query_id, id, score, rank): the k best of each query (query_id, t)."""
     renamed = f"{name}_asked as (select query_id id, t from {queries})"
