@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,6 +29,19 @@ TASK_BYTES = 64 << 20  # text whose n-grams one shuffle partition takes
 _squeeze, _expand = zstandard.ZstdCompressor(level=1).compress, zstandard.ZstdDecompressor().decompress
 
 
+@functools.cache
+def _trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def _release() -> None:
+    """Give freed memory back to the system. A Python worker lives on when its task has ended, and
+    would keep the most it ever held beside the workers of the next stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
 def _planes(values: np.ndarray) -> bytes:
     """64-bit numbers as compressed byte planes."""
     return _squeeze(np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T))
@@ -52,50 +68,78 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return _numbers(data).astype(np.int64)
 
 
+def _lasts(sizes: np.ndarray, n: int) -> np.ndarray:
+    """The places of the last words of the n-grams inside documents."""
+    ends = np.cumsum(sizes)
+    nth = np.arange(ends[-1] if len(ends) else 0)
+    nth -= np.repeat(ends - sizes, sizes)
+    return np.flatnonzero(nth >= n - 1)
+
+
 def _ngrams(hashes: np.ndarray, sizes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the n-grams inside documents, and the place of the last word of each."""
-    ends = np.cumsum(sizes)
-    nth = np.arange(len(hashes)) - np.repeat(ends - sizes, sizes)
-    last = np.flatnonzero(nth >= n - 1)
+    last = _lasts(sizes, n)
     return gram_hashes(hashes, n)[last - n + 1] if len(last) else np.zeros(0, np.uint64), last
 
 
-def _blocks(source: DataFrame, block_bytes: int) -> DataFrame:
-    """Documents of each partition in blocks: ids, words a document, word numbers, vocabulary.
+def _cut_blocks(batches, block_bytes: int):
+    """(block, ids, sizes, word hashes) of the documents of a partition, block after block.
 
     A block's number is a hash of its place and content, so that a block is known again.
     """
+    base, nth = TaskContext.get().partitionId() << 24, 0
+    ids, sizes, hashes, held = [], [], [], 0
+
+    def block():
+        n, h = np.concatenate(sizes), np.concatenate(hashes)
+        name = xxhash.xxh64(n.astype("<i8").tobytes(), base + nth)
+        name.update(np.ascontiguousarray(h, "<u8"))
+        return name.intdigest() >> 1, pa.chunked_array(ids).combine_chunks(), n, h
+
+    for batch in batches:
+        raw, offsets = utf8(batch.column(1))
+        for a, b in slices(offsets, min(SLICE, block_bytes)):
+            low, starts, ends, first = words_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            ids.append(batch.column(0).slice(a, b - a))
+            sizes.append(np.diff(first))
+            hashes.append(word_hashes(low, starts, ends))
+            held += int(offsets[b] - offsets[a]) + 16 * (b - a)
+            if held >= block_bytes:
+                made = block()
+                ids, sizes, hashes, held, nth = [], [], [], 0, nth + 1
+                yield made
+                del made
+                _release()
+    if ids:
+        yield block()
+    _release()
+
+
+def _blocks(source: DataFrame, block_bytes: int) -> DataFrame:
+    """Documents of each partition in blocks: ids, words a document, word numbers, vocabulary."""
     id_type = source.schema[0].dataType
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("n", T.LongType()), T.StructField("ids", T.ArrayType(id_type)), T.StructField("sizes", T.BinaryType()), T.StructField("words", T.BinaryType()), T.StructField("vocab", T.BinaryType())])
 
     def run(batches):
-        base, nth = TaskContext.get().partitionId() << 24, 0
-        ids, sizes, hashes, held, kind = [], [], [], 0, None
-
-        def flush():
-            vocab, words = np.unique(np.concatenate(hashes), return_inverse=True)
-            held = [pack_numbers(np.concatenate(sizes)), pack_numbers(words), pack_sorted(vocab)]
-            name = xxhash.xxh64_intdigest(b"".join(held), base + nth) >> 1
-            row = [[name], [len(words)], [ids], *([x] for x in held)]
-            return pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), pa.array(row[1], pa.int64()), pa.array(row[2], pa.list_(kind)), *(pa.array(x, pa.binary()) for x in row[3:])], names=schema.names)
-
-        for batch in batches:
-            raw, offsets = utf8(batch.column(1))
-            kind = batch.column(0).type
-            names = batch.column(0).to_pylist()
-            for a, b in slices(offsets, min(SLICE, block_bytes)):
-                low, starts, ends, first = words_of(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                ids += names[a:b]
-                sizes.append(np.diff(first))
-                hashes.append(word_hashes(low, starts, ends))
-                held += int(offsets[b] - offsets[a]) + 16 * (b - a)
-                if held >= block_bytes:
-                    yield flush()
-                    ids, sizes, hashes, held, nth = [], [], [], 0, nth + 1
-        if ids:
-            yield flush()
-
-    return source.mapInArrow(run, schema)
+        for name, ids, sizes, hashes in _cut_blocks(batches, block_bytes):
+            vocab, words = np.unique(hashes, return_inverse=True)
+            held = [pack_numbers(sizes), pack_numbers(words), pack_sorted(vocab)]
+            whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([len(words)], pa.int64()), whole, *(pa.array([x], pa.binary()) for x in held)], names=schema.names)
+
+    made = source.mapInArrow(run, schema)
+    made._made_from = source, block_bytes
+    return made
+
+
+def _tally(source: DataFrame, block_bytes: int) -> tuple[int, int]:
+    """How many blocks there are, and how many words in them."""
+
+    def run(batches):
+        for _, _, sizes, _ in _cut_blocks(batches, block_bytes):
+            yield pa.RecordBatch.from_arrays([pa.array([int(sizes.sum())], pa.int64())], names=["n"])
+
+    return source.mapInArrow(run, "n long").agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
 
 
 def _cut(owner: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pd.DataFrame:
@@ -110,18 +154,26 @@ PIECE = "path long, owner long, keys binary, counts binary"
 
 
 def exploded(blocks: DataFrame, order: int, bits: int) -> DataFrame:
-    """The distinct n-grams of each block, of all orders, with their counts there: PIECE rows."""
+    """The distinct n-grams of each block of `_blocks`, of all orders, with their counts there:
+    PIECE rows. They are made from the documents, in one worker a task, not from the blocks' rows."""
+    source, block_bytes = blocks._made_from
 
-    def run(frames):
-        for frame in frames:
-            for row in frame.itertuples():
-                hashes, sizes = unpack_sorted(row.vocab)[unpack_numbers(row.words)], unpack_numbers(row.sizes)
-                each = [np.unique(_ngrams(hashes, sizes, n)[0], return_counts=True) for n in range(1, order + 1)]
-                keys, counts = (np.concatenate(x) for x in zip(*each, strict=True))
-                by = np.argsort(keys, kind="stable")
-                yield _cut(row.block, keys[by], counts[by], bits)
-
-    return blocks.select("block", "sizes", "words", "vocab").mapInPandas(run, PIECE)
+    def run(batches):
+        for name, _, sizes, hashes in _cut_blocks(batches, block_bytes):
+            keys, counts = [], []
+            for n in range(1, order + 1):
+                k, c = np.unique(_ngrams(hashes, sizes, n)[0], return_counts=True)
+                keys.append(k)
+                counts.append(c.astype(np.uint32))  # a block has fewer words
+            del hashes, k, c
+            keys, counts = np.concatenate(keys), np.concatenate(counts)
+            by = np.argsort(keys, kind="stable")
+            keys, counts = keys[by], counts[by]
+            del by
+            yield pa.RecordBatch.from_pandas(_cut(name, keys, counts, bits), preserve_index=False)
+            del keys, counts
+
+    return source.mapInArrow(run, PIECE)
 
 
 def _table(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
@@ -183,22 +235,34 @@ def _own(doc: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
 def block_scores(hashes: np.ndarray, sizes: np.ndarray, total: np.ndarray, words_in_all: int, order: int, backoff: float) -> np.ndarray:
     """Log scores of a block's documents. ``total`` holds the counts over all documents of the
     block's distinct n-grams of all orders, ascending by key."""
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    rest = np.maximum(words_in_all - sizes, 0)[doc]
-    grams = [_ngrams(hashes, sizes, n) for n in range(1, order + 1)]
-    each = [np.unique(keys, return_inverse=True) for keys, _ in grams]
-    table = np.sort(np.concatenate([keys for keys, _ in each]))
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    rest = np.maximum(words_in_all - sizes, 0)
+    keys, places = [], []
+    for n in range(1, order + 1):
+        k, place = np.unique(_ngrams(hashes, sizes, n)[0], return_inverse=True)
+        keys.append(k)
+        places.append(place.astype(np.int32))
+    del k, place
+    table = np.concatenate(keys)
+    table.sort()
+    totals = [total[np.searchsorted(table, k)] for k in keys]
+    del table, keys, total
     term = below = None
-    for n, ((_, last), (keys, place)) in enumerate(zip(grams, each, strict=True), 1):
+    for n in range(1, order + 1):
+        last = _lasts(sizes, n)
+        place, counts = places[n - 1], totals[n - 1]
+        places[n - 1] = totals[n - 1] = None
         others = np.zeros(len(hashes), np.int64)  # of the n-gram that ends at a place
         if len(last):
-            others[last] = total[np.searchsorted(table, keys)][place] - _own(doc[last], place, len(keys))
+            others[last] = counts[place] - _own(doc[last], place, len(counts))
         if n == 1:
-            term = np.log(np.where(others > 0, others, 1)) - np.log(np.where(others > 0, rest, rest + 1))
+            term = np.log(np.where(others > 0, others, 1))
+            term -= np.where(others > 0, np.log(np.maximum(rest, 1))[doc], np.log(rest + 1)[doc])
         elif len(last):
             count, context = others[last], below[last - 1]
             seen = (count > 0) & (context > 0)
-            found = np.log(np.where(seen, count, 1)) - np.log(np.where(seen, context, 1))
+            found = np.log(np.where(seen, count, 1))
+            found -= np.log(np.where(seen, context, 1))
             term[last] = np.where(seen, found, np.log(backoff) + term[last])
         below = others
     return np.bincount(doc, weights=term, minlength=len(sizes))
@@ -231,7 +295,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
     arrow_bytes(spark)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     blocks = _blocks(source, block_bytes)
-    owners, words_in_all = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    owners, words_in_all = _tally(source, block_bytes)
     bits = max(1, min(fan_bits, (FAN_PER_BLOCK * max(1, owners) - 1).bit_length()))
     told = counted(exploded(blocks, order, bits), owners, bits, gather, -(-owners * block_bytes // TASK_BYTES))
     schema = T.StructType([T.StructField("doc_id", source.schema[0].dataType), T.StructField("n_words", T.LongType()), T.StructField("log_score", T.DoubleType())])
@@ -245,6 +309,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", o
         if len(hashes):
             total = np.concatenate([unpack_numbers(c) for c in told.sort_values("path")["counts"]])
             sums = block_scores(hashes, sizes, total, words_in_all, order, backoff)
+            del hashes, total
+            _release()
         return pd.DataFrame({"doc_id": row.ids, "n_words": sizes, "log_score": sums})
 
     answers = told.select(F.col("owner").alias("for_block"), "path", "counts")

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import math
 import random
+import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -75,3 +77,23 @@ def test_rows_stay_in_proportion(spark):
 
     (b1, r1), (b2, r2) = pieces(60), pieces(600)
     assert r1 <= 16 * b1 and r2 <= 16 * b2 and b2 >= 8 * b1
+
+
+def test_scoring_a_block_takes_a_bounded_share_of_memory():
+    """Bytes for each word of a block beside the input; arrays of all orders at once took 238."""
+    rng = np.random.default_rng(3)
+    words = (rng.zipf(1.3, 400_000) % 50_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sizes = np.full(1000, 400)
+    total = np.full(sum(len(np.unique(lm._ngrams(words, sizes, n)[0])) for n in (1, 2, 3)), 1000)
+    tracemalloc.start()
+    try:
+        lm.block_scores(words, sizes, total, 10**6, 3, 0.4)
+        assert tracemalloc.get_traced_memory()[1] / len(words) < 190
+    finally:
+        tracemalloc.stop()
+
+
+def test_ngrams_are_made_in_one_worker_a_task(spark, odd):
+    """Every Python step of a stage is a worker beside the others, and stays when the task ends."""
+    plan = lm.exploded(lm._blocks(odd.select("doc_id", "text"), 4000), 3, 4)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"MapIn(?:Arrow|Pandas)", plan)) == 1
