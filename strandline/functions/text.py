@@ -6,11 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # letters and digits of the basic plane; a letter beyond it separates, as do all other characters
-RUN = r"[\p{L}\p{Nd}&&[\x{0000}-\x{FFFF}]]+"
-# digits; capitals and what follows them; other letters
-PIECE = r"\p{Nd}+|\p{Lu}+[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]*|[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]+"
-# where a run is cut: a capital after something else, and digits next to letters
-SEAM = r"[^\p{Lu}]\p{Lu}|\p{Nd}\P{Nd}|\P{Nd}\p{Nd}"
+_BASIC = r"&&[\x{0}-\x{FFFF}]]"
+_LETTER, _DIGIT, _CAPITAL, _SMALL = rf"[\p{{L}}{_BASIC}", rf"[\p{{Nd}}{_BASIC}", rf"[\p{{Lu}}{_BASIC}", rf"[\p{{L}}&&[^\p{{Lu}}]{_BASIC}"
+GAP = r"[[^\p{L}\p{Nd}]\x{10000}-\x{10FFFF}]+"
+# the last character of a piece that another piece follows: a run is cut before a capital after something else,
+# and between digits and letters
+SEAM = rf"{_SMALL}(?=[\p{{Lu}}\p{{Nd}}{_BASIC})|{_CAPITAL}(?={_DIGIT})|{_DIGIT}(?={_LETTER})"
+# the same as a test, which looks closer at capitals and digits only
+HAS_SEAM = rf"(?=[\p{{Lu}}\p{{Nd}}])(?:(?<={_SMALL})[\p{{Lu}}\p{{Nd}}{_BASIC}|(?<={_DIGIT}){_CAPITAL}|(?<={_CAPITAL}){_DIGIT}|{_DIGIT}(?={_LETTER}))"
+MARK = "\x01"  # between the pieces of a run; it is a separator where a text has it
 LINE_END = r"\r\n|\r|\n"
 ANY_LINE_END = r"\r\n|[\n\r\f\x{85}\x{2028}\x{2029}]"
 BLANK = r"(?U)^\s*$"
@@ -24,23 +28,28 @@ def as_column(c: Column | str) -> Column:
 
 def fold_case(c: Column) -> Column:
     """Lower case letter by letter: no final sigma, and a dotted capital I gives one letter."""
-    return F.lower(F.translate(c, "ΣİẞI", "σißi"))
+    for capital, small in zip("ΣİẞI", "σißi", strict=True):
+        c = F.replace(c, F.lit(capital), F.lit(small))
+    return F.lower(c)
 
 
 def token_array(text: Column | str) -> Column:
     """Lower-cased tokens: the pieces of each run, and the whole run after them if there are several.
 
-    Most runs are one piece, which a cheap test tells; case is folded once for the whole array,
-    as tokens hold no space.
+    Most texts have no run of several pieces: they are folded and cut at the gaps, with no work a
+    token. In the others the pieces are marked first.
     """
+    text = F.coalesce(as_column(text), F.lit(""))
+    # folded when the gaps are spaces: case may be known of letters that the expressions do not know
+    cut = lambda c, gap: F.array_remove(F.split(fold_case(F.regexp_replace(c, F.lit(gap), F.lit(" "))), " ", -1), "")
 
     def tokens(run: Column) -> Column:
-        pieces = F.regexp_extract_all(run, F.lit(f"({PIECE})"), F.lit(1))
-        return F.when(run.rlike(SEAM), F.concat(pieces, F.array(run))).otherwise(F.array(run))
+        several = F.concat(F.split(run, MARK, -1), F.array(F.replace(run, F.lit(MARK), F.lit(""))))
+        return F.when(F.contains(run, F.lit(MARK)), several).otherwise(F.array(run))
 
-    runs = F.regexp_extract_all(F.coalesce(as_column(text), F.lit("")), F.lit(RUN), F.lit(0))
-    joined = F.array_join(F.flatten(F.transform(runs, tokens)), " ")
-    return F.when(joined != "", F.split(fold_case(joined), " ")).otherwise(F.array().cast("array<string>"))
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), F.lit(SEAM), F.lit("$0" + MARK))
+    pieces = F.flatten(F.transform(cut(marked, GAP.replace(r"\p{Nd}]", r"\p{Nd}\x{1}]")), tokens))
+    return F.when(text.rlike(HAS_SEAM), pieces).otherwise(cut(text, GAP))
 
 
 def trimmed(c: Column) -> Column:
@@ -105,6 +114,12 @@ def body_text(title: Column | str = "title", text: Column | str = "text") -> Col
     return F.concat(as_column(title), F.lit(" "), as_column(text))
 
 
+def body_tokens(title: Column | str = "title", text: Column | str = "text") -> Column:
+    """The tokens of `body_text`. A title such as a file's name has runs of several pieces, most texts have none."""
+    none = F.array().cast("array<string>")
+    return F.when(body_text(title, text).isNull(), none).otherwise(F.concat(token_array(title), token_array(text)))
+
+
 def location_path(location: Column | str) -> Column:
     """What precedes the last colon, if that leaves anything; else all."""
     return F.regexp_replace(as_column(location), r"(?s)^(.+):[^:]*$", "$1")

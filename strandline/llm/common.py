@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.sizes import arrow_bytes as arrow_bytes
 from ..shared import shared_dir
 
 
@@ -42,14 +43,6 @@ def discard_all(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
-def arrow_bytes(spark: SparkSession, most: int = 2 << 20) -> None:
-    """Bound the bytes of an Arrow batch, so that a batch of long texts fits in a Python worker."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
-    if now > most:
-        spark.conf.set(key, str(most))
-
-
 def join_spread(many: DataFrame, one: DataFrame, key: str, counts: DataFrame, total: int) -> DataFrame:
     """Inner join on ``key`` of many rows with a table of one row a key, whatever keys are frequent.
 

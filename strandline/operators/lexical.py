@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.scoring import RANK_DIGITS, bm25_weight
 from ..functions.text import token_array
 
 FEW_TERMS = 200_000  # query terms that are broadcast, at most
+RUN_ROWS, BATCH_ROWS = 4_000_000, 65_536  # postings that a worker sorts at once (about 200 MB), and sends at once
 PUSHED_TERMS = 500  # query terms that are a filter of the scan, at most
 
 
@@ -56,6 +60,52 @@ def build(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("id",))
     return tf.withColumn("dl", dl).select("term", *keys, "tf", "dl"), lengths(docs, tf, keys)
 
 
+def postings_in_place(docs: DataFrame, tokens: Column, keys: tuple[str, ...] = ("id",)) -> DataFrame:
+    """The postings of `build`, of documents of which no two have the same keys: terms are counted
+    in the row that holds them, and nothing is shuffled. Each partition is sorted by term, in runs
+    of RUN_ROWS: numbers stand for the terms, which is cheaper than to sort rows of strings."""
+    kinds = {f.name: f for f in docs.select(*keys).schema.fields}
+    schema = T.StructType([T.StructField("term", T.StringType()), *(kinds[k] for k in keys), T.StructField("tf", T.LongType()), T.StructField("dl", T.LongType())])
+
+    def counted(batch) -> tuple:
+        found = batch.column(len(keys))
+        n = found.value_lengths().to_numpy().astype(np.int64)
+        coded = found.flatten().dictionary_encode()
+        size = np.int64(max(len(coded.dictionary), 1))
+        pairs, tf = np.unique(np.repeat(np.arange(len(n)), n) * size + coded.indices.to_numpy(), return_counts=True)
+        row, term = np.divmod(pairs, size)
+        at = pa.array(row)
+        return pa.DictionaryArray.from_arrays(pa.array(term, pa.int32()), coded.dictionary), *(batch.column(i).take(at) for i in range(len(keys))), pa.array(tf.astype(np.int64)), pa.array(n[row])
+
+    def ordered(held: list[tuple]):
+        first, *others = (pa.chunked_array(x) for x in zip(*held, strict=True))
+        same = first.unify_dictionaries()
+        terms = same.chunk(0).dictionary
+        rank = np.empty(len(terms), np.int32)
+        up = pc.array_sort_indices(terms)
+        rank[up.to_numpy()] = np.arange(len(terms), dtype=np.int32)
+        ranks = np.concatenate([rank[c.indices.to_numpy()] for c in same.chunks])
+        terms, by = terms.take(up), np.argsort(ranks, kind="stable")
+        others = [x.combine_chunks() for x in others]
+        for a in range(0, len(by), BATCH_ROWS):
+            part = by[a : a + BATCH_ROWS]
+            at = pa.array(part)
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(ranks[part])), *(x.take(at) for x in others)], names=schema.names)
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(counted(batch))
+            n += len(held[-1][0])
+            if n >= RUN_ROWS:
+                yield from ordered(held)
+                held, n = [], 0
+        if n:
+            yield from ordered(held)
+
+    return docs.select(*keys, tokens.alias("tokens")).mapInArrow(run, schema)
+
+
 def document_frequencies(found: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 

@@ -36,6 +36,8 @@ class HashingEmbedder:
     A token's bucket comes from the first four hex digits of its md5, its sign from the next two.
     """
 
+    light = True  # cheaper than it is to bring equal texts together
+
     def __init__(self, dimensions: int = 64):
         self.dimensions = dimensions
 

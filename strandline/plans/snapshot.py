@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.text import body_text, one_line, path_text, shard_of
+from ..functions.text import body_text, body_tokens, one_line, path_text, shard_of, token_array
 from ..operators import lexical
+from ..operators.sizes import arrow_bytes
 from ..operators.vectors import Embedder, ExactVectors, HashingEmbedder, VectorIndex, embed
 from ..schemas import LENGTHS, POSTING, RECORD, VECTOR
 
 VERSIONS_KEPT = 5  # a reader of an older version must open the store again
 SHARDS = 8
+TASK_BYTES = 16 << 20  # of a table, as estimated, that one task writes
+SHARD_TASKS = 64  # tasks that write a shard of a table, at most
+OPEN_FILES = 16  # that a task writes side by side
+LAYERS = 4  # changes that lie over the shards before they are merged into them
+GONE = 1_000_000  # ids of records that layers hide, at most; every reader gets them all
 TABLES = {"records": RECORD, "body_postings": POSTING, "path_postings": POSTING, "body_lengths": LENGTHS, "path_lengths": LENGTHS, "vectors": VECTOR}
 SORTED_BY = {"records": "id", "body_postings": "term", "path_postings": "term", "body_lengths": "id", "path_lengths": "id", "vectors": "id"}
 
@@ -40,6 +49,8 @@ class Index:
         searches; without it the table of vectors is searched exactly."""
         self.tables, self.read_only, self.shards, self._stats = tables, read_only, shards, dict(stats or {})
         self.vector_index = vector_index or ExactVectors(tables.get("vectors"))
+        self.source: DataFrame | None = None  # what `build` made it of
+        self.derive: Callable[[DataFrame], dict[str, DataFrame]] | None = None  # the other tables, from stored records
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -90,6 +101,7 @@ def build(records: DataFrame, embedder: Embedder | None = None, text: str = "tex
     is built there, with a column shard; a store of so many shards writes them as they are.
     """
     columns, keys = [f.name for f in RECORD.fields], ("id",)
+    source, embedder = records.select(columns), embedder or HashingEmbedder()
     if shards:
         records = records.select(*columns, shard_of("id", shards).alias("shard")).repartition(shards, "shard")
         keys = ("shard", "id")
@@ -97,18 +109,62 @@ def build(records: DataFrame, embedder: Embedder | None = None, text: str = "tex
         records = lexical.by_document(records.select(columns))
     body, body_dl = lexical.build(records.select(*keys, body_text().alias("t")), "t", keys)
     path, path_dl = lexical.build(records.select(*keys, path_text().alias("t")), "t", keys)
-    vectors = embed(records, embedder or HashingEmbedder(), text)
+    vectors = embed(records, embedder, text)
     tables = {"records": records, "body_postings": body, "path_postings": path, "body_lengths": body_dl, "path_lengths": path_dl, "vectors": vectors}
-    return Index(tables, shards=shards)
+    index = Index(tables, shards=shards)
+    index.source, index.derive = source, lambda stored: _derived(stored, embedder, text)
+    return index
+
+
+def _derived(stored: DataFrame, embedder: Embedder, text: str) -> dict[str, DataFrame]:
+    """Postings and vectors of stored records (with their column shard) of which no two have the
+    same id, made where the records are."""
+    arrow_bytes(stored.sparkSession)
+    keys = ("shard", "id")
+    body, path = (lexical.postings_in_place(stored, t, keys) for t in (body_tokens(), token_array(path_text())))
+    light = getattr(embedder, "light", False)
+    vectors = stored.select(*keys, embedder.column(F.col(text)).alias("embedding")) if light else embed(stored, embedder, text)
+    return {"body_postings": body, "path_postings": path, "vectors": vectors}
+
+
+def _layers(about: dict) -> list[dict]:
+    """The shards of a version, and the changes that lie over them, oldest first."""
+    return [{"tables": about["tables"]}, *about.get("layers", [])]
+
+
+def _folders(about: dict) -> set[str]:
+    found = {place for layer in _layers(about) for places in layer["tables"].values() for place in places.values()}
+    return found | {layer["gone"] for layer in about.get("layers", [])}
+
+
+@contextlib.contextmanager
+def _open_files(spark: SparkSession, shards: int):
+    """A task that writes shards has their files open side by side: Spark would sort it by shard else."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(shards, OPEN_FILES)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _dealt(df: DataFrame, shards: int) -> DataFrame:
+    """``df`` with its column shard, each shard in as many tasks as the size asks for."""
+    size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), df.sparkSession.sparkContext.defaultParallelism
+    tasks = min(SHARD_TASKS, max(math.ceil(cores / shards), math.ceil(size / TASK_BYTES / shards)))
+    shard = shard_of("id", shards)
+    return df.withColumn("shard", shard).repartitionById(shards * tasks, shard * tasks + F.pmod(F.hash("id"), F.lit(tasks)))
 
 
 class Store:
     """An index in a folder, in immutable versions.
 
     A version is a manifest that names, for every table and shard, the folder that holds it; a
-    record's shard is the hash of its id. A change writes only the shards it touches and a new
-    manifest; the file CURRENT, replaced last, makes the version visible. Readers keep the version
-    they opened. All files go through the cluster's file system.
+    record's shard is the hash of its id. A change is a layer: the tables of what it adds, and the
+    ids that it hides in what lies below. After LAYERS changes, or GONE ids, the shards that they
+    touch are written anew. The file CURRENT, replaced last, makes a version visible. Readers keep
+    the version they opened. All files go through the cluster's file system.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -150,7 +206,7 @@ class Store:
         """Delete versions before the last VERSIONS_KEPT, and the folders that only they have."""
         files = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root))]
         versions = sorted(int(f[9:-5]) for f in files if f.startswith("manifest-") and f.endswith(".json"))
-        folders = lambda v: {place for places in json.loads(self._read(f"manifest-{v}.json"))["tables"].values() for place in places.values()}
+        folders = lambda v: _folders(json.loads(self._read(f"manifest-{v}.json")))
         held = {f for v in versions[-VERSIONS_KEPT:] for f in folders(v)}
         for v in versions[:-VERSIONS_KEPT]:
             for place in folders(v) - held:
@@ -158,25 +214,35 @@ class Store:
             self._fs.delete(self._path(f"{self.root}/manifest-{v}.json"), False)
 
     def _put(self, index: Index, version: int, shards: int) -> dict[str, dict[str, str]]:
-        """Write the tables, a folder per shard: sorted, so that parquet statistics find a term."""
+        """Write the tables, a folder per shard: sorted, so that parquet statistics find a term.
+
+        Records are written first. If their ids differ, the tables made of them are made of what
+        is stored, so that the text is shuffled once.
+        """
         folder = f"v{version}-{uuid.uuid4().hex[:8]}"
         places: dict[str, dict[str, str]] = {}
 
-        def put(name: str, df: DataFrame) -> DataFrame:
-            if "shard" not in df.columns or index.shards != shards:
-                df = df.drop("shard").withColumn("shard", shard_of("id", shards)).repartition(shards, "shard")
+        def put(name: str, df: DataFrame, in_shards: bool, in_order: bool = False) -> DataFrame:
+            if "shard" not in df.columns or not in_shards:
+                df = _dealt(df.drop("shard"), shards)
             to = f"{self.root}/{folder}/{name}"
-            df.sortWithinPartitions("shard", SORTED_BY[name]).write.partitionBy("shard").option("parquet.bloom.filter.enabled#term", "true").parquet(to)
+            df = df if in_order else df.sortWithinPartitions("shard", SORTED_BY[name])
+            df.write.partitionBy("shard").option("parquet.bloom.filter.enabled#term", "true").parquet(to)
             names = [s.getPath().getName() for s in self._fs.listStatus(self._path(to))]
             places[name] = {n.removeprefix("shard="): f"{folder}/{name}/{n}" for n in names if n.startswith("shard=")}
-            return self.spark.read.schema(TABLES[name]).parquet(to)
+            return self.spark.read.schema(T.StructType([*TABLES[name].fields, T.StructField("shard", T.IntegerType())])).parquet(to)
 
+        stored, tables, in_shards, in_order = {}, index.tables, index.shards == shards, ()
+        if index.derive:
+            stored["records"] = put("records", index.source, False)
+            if stored["records"].groupBy("id").count().where("count > 1").isEmpty():
+                tables, in_shards, in_order = index.derive(stored["records"]), True, ("body_postings", "path_postings")
         # tables that do not need one another are written side by side
-        with ThreadPoolExecutor(4) as pool:
-            independent = ("body_postings", "vectors", "records", "path_postings")
-            stored = dict(zip(independent, pool.map(lambda n: put(n, index.tables[n]), independent), strict=True))
+        with _open_files(self.spark, shards), ThreadPoolExecutor(4) as pool:
+            independent = [n for n in ("body_postings", "vectors", "records", "path_postings") if n not in stored]
+            stored.update(zip(independent, pool.map(lambda n: put(n, tables[n], in_shards, n in in_order), independent), strict=True))
             parts = ("body", "path")
-            list(pool.map(lambda n: put(f"{n}_lengths", lexical.lengths_of(stored["records"], stored[f"{n}_postings"])), parts))
+            list(pool.map(lambda n: put(f"{n}_lengths", lexical.lengths_of(stored["records"], stored[f"{n}_postings"]), False), parts))
         return places
 
     def save(self, index: Index, shards: int = SHARDS) -> None:
@@ -193,39 +259,57 @@ class Store:
         return self._open(self.manifest(), read_only)
 
     def _open(self, about: dict, read_only: bool = True) -> Index:
-        tables = {}
+        layers, tables = _layers(about), {}
+        hint = F.broadcast if sum(x["n_gone"] for x in layers[1:]) <= GONE else lambda df: df
         for name, schema in TABLES.items():
-            folders = [f"{self.root}/{f}" for f in about["tables"][name].values()]
-            tables[name] = self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+            parts = []
+            for i, layer in enumerate(layers):
+                folders = [f"{self.root}/{f}" for f in layer["tables"].get(name, {}).values()]
+                if folders:
+                    df = self.spark.read.schema(schema).parquet(*folders)
+                    over = [f"{self.root}/{x['gone']}" for x in layers[i + 1 :]]
+                    parts.append(df.join(hint(self.spark.read.schema("id long").parquet(*over)), "id", "left_anti").select(df.columns) if over else df)
+            tables[name] = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
         return Index(tables, read_only)
 
     def apply(self, removed: DataFrame | None, added: Index | None) -> int:
         """Drop the records with ids of ``removed``, add those of ``added``; the new version.
 
-        An added id replaces the record that has it. Only the shards of these ids are rewritten.
+        An added id replaces the record that has it. Only what is new is written, and from time to
+        time the shards that changed.
         """
         about = self.manifest()
         shards, version = about["shards"], about["version"] + 1
-        gone = [d.select("id") for d in (removed, added.records if added else None) if d is not None]
+        layer = {"tables": self._put(added, version, shards) if added else {}, "gone": f"v{version}-{uuid.uuid4().hex[:8]}/gone"}
+        new = [f"{self.root}/{f}" for f in layer["tables"].get("records", {}).values()]
+        gone = [d.select(F.col("id").cast("long")) for d in (removed, self.spark.read.schema(RECORD).parquet(*new) if new else None) if d is not None]
         if not gone:
             return about["version"]
-        gone = reduce(DataFrame.unionByName, gone).distinct()
-        touched = {str(r[0]) for r in gone.select(shard_of("id", shards)).distinct().collect()}  # at most `shards`
-        if not touched:
+        reduce(DataFrame.unionByName, gone).distinct().write.parquet(f"{self.root}/{layer['gone']}")
+        layer["n_gone"] = self.spark.read.schema("id long").parquet(f"{self.root}/{layer['gone']}").count()
+        if not layer["n_gone"]:
+            self._fs.delete(self._path(f"{self.root}/{layer['gone']}").getParent(), True)
             return about["version"]
-        current = {n: {s: f for s, f in places.items() if s in touched} for n, places in about["tables"].items()}
-        old = self._open({"tables": current})
-        tables = {}
-        for name, df in old.tables.items():
-            kept = df.join(gone, "id", "left_anti").select(df.columns)
-            tables[name] = kept.unionByName(added.tables[name].select(df.columns)) if added else kept
-        fresh = self._put(Index(tables), version, shards)
-        for name, places in about["tables"].items():
-            about["tables"][name] = {**{s: f for s, f in places.items() if s not in touched}, **fresh[name]}
-        about["version"] = version
+        about = {**about, "version": version, "layers": [*about.get("layers", []), layer]}
+        if len(about["layers"]) > LAYERS or sum(x["n_gone"] for x in about["layers"]) > GONE:
+            about = self._merged(about)
         self._commit(about)
+        for place in _folders({"tables": {}, "layers": [layer]}) - _folders(about):
+            self._fs.delete(self._path(f"{self.root}/{place}"), True)
         return version
 
+    def _merged(self, about: dict) -> dict:
+        """``about`` without layers: the shards that they touch are written anew."""
+        shards, layers = about["shards"], about["layers"]
+        gone = self.spark.read.schema("id long").parquet(*(f"{self.root}/{x['gone']}" for x in layers))
+        touched = {str(r[0]) for r in gone.select(shard_of("id", shards)).distinct().collect()}  # at most `shards`
+        part = lambda tables: {n: {s: f for s, f in places.items() if s in touched} for n, places in tables.items()}
+        now = self._open({"tables": part(about["tables"]), "layers": layers}).tables
+        few = sum(x["n_gone"] for x in layers) <= GONE  # then rows stay where they are, in files of their shard
+        fresh = self._put(Index({n: t.withColumn("shard", shard_of("id", shards)) for n, t in now.items()}, shards=shards if few else None), about["version"], shards)
+        tables = {n: {**{s: f for s, f in places.items() if s not in touched}, **fresh[n]} for n, places in about["tables"].items()}
+        return {**about, "tables": tables, "layers": []}
+
     def late(self) -> list[str]:
         """Paths that the next burst deletes; kept here, so that a restart does not lose them."""
         return json.loads(self._read("late.json")) if self._fs.exists(self._path(f"{self.root}/late.json")) else []

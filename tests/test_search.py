@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.functions import text as tx
 from strandline.operators import fusion, lexical, vectors
 from strandline.operators.language import NaiveBayes
 from strandline.plans.service import SearchService, query_rows
@@ -191,3 +193,73 @@ def test_a_vector_index_can_be_swapped(spark):
     swapped = Index(index.tables, vector_index=Reversed())
     first = lambda i: SearchService(spark, i).search("nearest neighbor vectors", 4).collect()
     assert [r["fused"] for r in first(index)] != [r["fused"] for r in first(swapped)]
+
+
+PASSAGE_COLUMNS = "id long, source string, location string, title string, language string, text string"
+
+
+def _held(index):
+    """Every row of every table, in the same form for any store."""
+    return {n: sorted((tuple(map(str, r)) for r in t.select(sorted(set(t.columns) - {"shard"})).collect())) for n, t in index.tables.items()}
+
+
+def _records(spark, ids, more=""):
+    return spark.createDataFrame([(i, "file", f"src/doc{i}.md:1-2", f"doc{i}.md", "en", f"Tomato basil word{i % 7} fooBar{i} word{i % 7}{more}") for i in ids], PASSAGE_COLUMNS)
+
+
+@pytest.mark.parametrize("limits", [{}, {"GONE": 5}, {"LAYERS": 1}])
+def test_a_change_writes_what_is_new(spark, tmp_path, monkeypatch, limits):
+    """Changes that touch every shard leave the shards as they are, until they are merged into them."""
+    from strandline.plans import snapshot
+
+    for name, value in limits.items():
+        monkeypatch.setattr(snapshot, name, value)
+    store = Store(spark, f"file://{tmp_path}/index")
+    store.save(build(_records(spark, range(40)), shards=4), 4)
+    first = store.manifest()["tables"]
+    reader = store.load()
+    store.remove(_records(spark, range(0, 40, 3)).select("id"))
+    store.add(_records(spark, range(1, 50, 4), " revised"))
+    assert (store.manifest()["tables"] == first) == (not limits)
+    now = sorted({*range(40)} - {*range(0, 40, 3)} - {*range(1, 50, 4)})
+    want = _held(build(_records(spark, now).unionByName(_records(spark, range(1, 50, 4), " revised"))))
+    assert _held(store.load()) == want
+    assert reader.count() == 40
+    for _ in range(snapshot.LAYERS):
+        store.add(_records(spark, range(1, 50, 4), " revised"))
+    assert _held(store.load()) == want
+    assert len(store.manifest()["layers"]) <= snapshot.LAYERS
+    kept = {f for v in (tmp_path / "index").glob("manifest-*.json") for f in snapshot._folders(json.loads(v.read_text()))}
+    assert all((tmp_path / "index" / f).exists() for f in kept)
+    assert store.remove(_records(spark, [999]).select("id").limit(0)) == store.manifest()["version"]
+
+
+def test_text_is_shuffled_once_on_its_way_to_a_store(spark):
+    index = build(_records(spark, range(9)), shards=4)
+    stored = index.source.withColumn("shard", F.lit(0))
+    for name, table in index.derive(stored).items():
+        assert "Exchange" not in table._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_postings_in_place(spark):
+    """In order by term, with runs that are sorted apart, as `build` makes them."""
+    docs = _records(spark, range(30)).unionByName(spark.createDataFrame([(50, "file", "l", "", "en", ""), (51, "git", "l", "Ünï 中文", "en", "ß ẞ Iİ ΑΣ")], PASSAGE_COLUMNS))
+    made = lexical.postings_in_place(docs.coalesce(1), tx.body_tokens())
+    rows = [tuple(r) for r in made.select("term", "id", "tf", "dl").collect()]
+    assert sorted(rows) == sorted(map(tuple, build(docs).body_postings.collect()))
+    assert [r[0].encode() for r in rows] == sorted(r[0].encode() for r in rows)
+
+
+def test_records_with_one_id_share_their_postings(spark, tmp_path):
+    twice = _records(spark, [1, 2]).unionByName(_records(spark, [1]))
+    store = Store(spark, f"file://{tmp_path}/index")
+    store.save(build(twice, shards=2), 2)
+    assert {tuple(r) for r in store.load().body_postings.where("id = 1 and term in ('tomato', 'word1')").select("term", "tf").collect()} == {("tomato", 2), ("word1", 4)}
+
+
+def test_tokens_of_texts_with_runs_of_several_pieces(spark):
+    """Letters without a known class, marks and letters beyond the basic plane are gaps."""
+    texts = ["a\x01b fooBar12Baz", "xꟋy HTTPServer", "Ⅷa1 \U0001d400b ٣x", "abc def", "A1", None, " ", "É9é"]
+    want = [["a", "b", "foo", "bar", "12", "baz", "foobar12baz"], ["x", "y", "httpserver"], ["a", "1", "a1", "b", "٣", "x", "٣x"], ["abc", "def"], ["a", "1", "a1"], [], [], ["é", "9", "é", "é9é"]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    assert [r[0] for r in rows.orderBy("i").select(tx.token_array("t")).collect()] == want
